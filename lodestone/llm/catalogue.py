@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, sharding, substring_dedup
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
