@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, ngram_join, packing, sharding, substring_dedup
+from . import bpe, exact_dedup, lm_scoring, ngram_join, packing, sharding, substring_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_sharding": sharding.op2_sharding,
     "op3_bpe": bpe.op3_bpe,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_packing": packing.op9_packing,
 }
