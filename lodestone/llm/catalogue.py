@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, lm_scoring, ngram_join, packing, sharding, substring_dedup
+from . import ann, bpe, exact_dedup, lm_scoring, ngram_join, packing, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_ann": ann.op8_ann,
     "op9_packing": packing.op9_packing,
 }
