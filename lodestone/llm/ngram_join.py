@@ -11,7 +11,8 @@ similarity reaches the threshold lacks at most tau = n - ceil(t * n) of a docume
 A missing token takes at most one credit, so linked documents share an indexed token or combination. The number of
 subclasses follows the size of the larger document of a pair, in powers of two; a document near a power is indexed on both levels.
 Tokens that no other document holds give credits but need no index, and documents with fewer than ceil(t * n) shared tokens
-link with nothing.
+link with nothing. A document with combinations has all its rare tokens indexed; so a pair that shares combinations alone has only
+frequent tokens in common, and their number bounds its overlap. Keys of combinations are odd, those of single tokens even.
 
 Documents with equal sets are joined first, by a 128-bit digest of the set, and stand as one. Candidates are verified in
 two rounds, each exact: first every document against the smallest id under each key; then, for keys that still hold
@@ -71,7 +72,7 @@ def keys(tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
     credits = n - needed(n, percent) + 1
     rare = int((df <= RARE).sum())
     own = tokens[: min(rare, credits)]
-    out = [K.mix(own[df[: len(own)] > 1])]
+    out = [K.mix(own[df[: len(own)] > 1]) & ~np.uint64(1)]
     left = credits - rare
     if left > 0:
         frequent = tokens[rare:]
@@ -87,12 +88,12 @@ def keys(tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
                 same = c[step:] == c[:-step]
                 if not same.any():
                     break
-                out.append(K.mix(K.join(t[:-step][same], t[step:][same]) + np.uint64(level + 1)))
+                out.append(K.mix(K.join(t[:-step][same], t[step:][same]) + np.uint64(level + 1)) | np.uint64(1))
     return np.unique(np.concatenate(out))
 
 
 def _index(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, shared, digest, keys, tokens) of every document; tokens: the shared ones, packed, where there are keys."""
+    """(id, n, shared, frequent, digest, keys, tokens) of every document; tokens: the shared ones, packed, where there are keys."""
     plan = C.layout(docs, id_col, text_col)
     chunks = C.chunked(docs, plan, id_col, text_col)
     number = 2 * parts(docs.sparkSession)
@@ -118,11 +119,11 @@ def _index(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
             df = np.where(there, counts[at] if len(counts) else 1, 1)
             key = keys(tokens, df, percent)
             digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-            out.append((len(tokens), int((df > 1).sum()), digest, key.view(np.int64), K.pack(tokens[df > 1]) if len(key) else None))
-        return pd.DataFrame({"id": ids} | dict(zip(("n", "shared", "digest", "keys", "tokens"), zip(*out))))
+            out.append((len(tokens), int((df > 1).sum()), int((df > RARE).sum()), digest, key.view(np.int64), K.pack(tokens[df > 1]) if len(key) else None))
+        return pd.DataFrame({"id": ids} | dict(zip(("n", "shared", "frequent", "digest", "keys", "tokens"), zip(*out))))
 
     counts = C.compare(chunks, tell, count, 1, 1)
-    return C.with_answers(chunks, counts, index, "id long, n long, shared long, digest binary, keys array<long>, tokens binary")
+    return C.with_answers(chunks, counts, index, "id long, n long, shared long, frequent long, digest binary, keys array<long>, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,8 +154,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     index = settle(_index(docs, k, percent, id_col, text_col), "index")
     classes = index.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     sets = index.where("tokens is not null").join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
-    sets = settle(sets.select("id", "n", "shared", "keys", "tokens").dropDuplicates(["id", "tokens"]), "sets")
-    entries = sets.select("id", "n", "shared", F.explode("keys").alias("key"))
+    sets = settle(sets.select("id", "n", "shared", "frequent", "keys", "tokens").dropDuplicates(["id", "tokens"]), "sets")
+    entries = sets.select("id", "n", "shared", "frequent", F.explode("keys").alias("key"))
+    entries = entries.select("id", "n", F.when(F.col("key").bitwiseAND(1) == 1, F.col("frequent")).otherwise(F.col("shared")).alias("shared"), "key")
 
     def may_link(x: str, y: str):
         """Sizes and numbers of shared tokens that allow a link."""
