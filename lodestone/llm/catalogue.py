@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, lm_scoring, ngram_join, packing, quality, sharding, substring_dedup
+from . import ann, bpe, exact_dedup, lm_scoring, ngram_join, packing, quality, secrets, sharding, substring_dedup
 
 QUERIES = {
+    "op10_secret_scan": secrets.op10_secret_scan,
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_sharding": sharding.op2_sharding,
     "op3_bpe": bpe.op3_bpe,
