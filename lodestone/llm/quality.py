@@ -79,7 +79,7 @@ def _slices(texts: list[bytes], most: int = 4 << 20):
         yield start, len(texts)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
     """Weights, the last one the intercept, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
