@@ -1,4 +1,281 @@
 """Registered queries of the decision engine, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators.circuit import constraint_groups, support
+from .operators.decide import Outcome, decide
+from .sources.language import compile_text
+from .streaming.session import Session
+
+# relation: its definition, and the table and columns that fill it
+TABLES = {
+    "Nation": ("(Integer, String, Integer)", "nation", ["n_nationkey", "n_name", "n_regionkey"]),
+    "Region": ("(Integer, String)", "region", ["r_regionkey", "r_name"]),
+    "Customer": ("(Integer, Integer)", "customer", ["c_custkey", "c_nationkey"]),
+    "Supplier": ("(Integer, Integer)", "supplier", ["s_suppkey", "s_nationkey"]),
+    "Balance": ("(Integer, Real)", "supplier", ["s_suppkey", "s_acctbal"]),
+    "Part": ("(Integer, Integer)", "part", ["p_partkey", "p_size"]),
+    "Label": ("(Integer, String, String)", "part", ["p_partkey", "p_brand", "p_type"]),
+    "Orders": ("(Integer, Integer)", "orders", ["o_orderkey", "o_custkey"]),
+    "Line": ("(Integer, Integer, Integer)", "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]),
+    "Price": ("(Integer, Integer, Real, Real)", "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"]),
+    "Event": ("(Integer, Integer)", "events", ["event_id", "user_id"]),
+    "Stamp": ("(Integer, Integer)", "events", ["event_id", "ts"]),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def program_of(text: str) -> tuple:
+    """The program of a text that may use the TABLES, and the tables it uses."""
+    used = [n for n in TABLES if f"{n}(" in text or f"{n} " in text]
+    return compile_text("\n".join(f"define input {n} {TABLES[n][0]}." for n in used) + text), used
+
+
+def run_text(spark: SparkSession, sf_dir: str, text: str) -> Outcome:
+    program, used = program_of(text)
+    inputs = {n: spark.read.parquet(f"{sf_dir}/{TABLES[n][1]}.parquet").select(*TABLES[n][2]) for n in used}
+    return decide(spark, program, inputs)
+
+
+def add(name: str, text: str, columns: str, sql: str, out: str = "Out") -> None:
+    """A query whose result is an output relation, with its columns named."""
+    QUERIES[name] = lambda spark, sf: run_text(spark, sf, text).outputs[out].toDF(*columns.split())
+    ORACLES[name] = sql
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+I1, I2, I3 = "define output Out Integer.", "define output Out(Integer, Integer).", "define output Out(Integer, Integer, Integer)."
+
+# Scans, filters, computed columns
+add("scan_nation", "define output Out(Integer, String). Out(k, n) :- Nation(k, n, r).", "k n", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) k, n_name n FROM nation")
+add("const_scan", "define output Out(Integer, String). Out(k, n) :- Nation(k, n, 2).", "k n", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) k, n_name n FROM nation WHERE n_regionkey = 2")
+add("facts_values", "define Colour Symbol. Colour Red. Colour Blue. Colour Red. define output Out(Symbol, Integer). Out(c, -3) :- Colour c. Out(Green, 0).", "c n", "SELECT * FROM (VALUES ('Red', CAST(-3 AS BIGINT)), ('Blue', -3), ('Green', 0)) t(c, n)")
+add("timestamp_scan", "define output Out(Integer, Integer). Out(e, t) :- Stamp(e, t), e < 500.", "e t", "SELECT event_id e, epoch_us(ts) t FROM events WHERE event_id < 500")
+add("filter_cmp", f"{I2} Out(p, s) :- Part(p, s), s >= 10, s < 20, p != 7.", "p s", "SELECT DISTINCT p_partkey p, CAST(p_size AS BIGINT) s FROM part WHERE p_size >= 10 AND p_size < 20 AND p_partkey <> 7")
+add("let_arith", f"{I1} Out x :- Line(o, n, p), x = o * 10 + n.", "x", "SELECT DISTINCT l_orderkey * 10 + l_linenumber x FROM lineitem")
+add("head_const", "define output Out(Symbol, Integer). Out(Land, k) :- Region(k, n).", "kind k", "SELECT 'Land' kind, CAST(r_regionkey AS BIGINT) k FROM region")
+add("eq_assign", f"{I2} Out(o, x) :- Orders(o, c), o + c = x.", "o x", "SELECT DISTINCT o_orderkey o, o_orderkey + o_custkey x FROM orders")
+add("conjunction", f"{I1} Out p :- Part(p, s), s > 5 && s < 9, p > 3.", "p", "SELECT DISTINCT p_partkey p FROM part WHERE p_size > 5 AND p_size < 9 AND p_partkey > 3")
+add("tuple_cmp", f"{I2} Out(a, b) :- Nation(a, n, r), Nation(b, m, s), (a, r) < (b, s).", "a b", "SELECT DISTINCT CAST(x.n_nationkey AS BIGINT) a, CAST(y.n_nationkey AS BIGINT) b FROM nation x, nation y WHERE x.n_nationkey < y.n_nationkey AND x.n_regionkey < y.n_regionkey")
+add("tuple_ne", f"{I2} Out(a, b) :- Nation(a, n, r), Nation(b, m, s), (a, r) != (b, s).", "a b", "SELECT DISTINCT CAST(x.n_nationkey AS BIGINT) a, CAST(y.n_nationkey AS BIGINT) b FROM nation x, nation y WHERE NOT (x.n_nationkey = y.n_nationkey AND x.n_regionkey = y.n_regionkey)")
+add("tuple_destructure", "define Pair(Integer, (Integer, Integer)). Pair(r, (k, r)) :- Nation(k, n, r). define output Out(Integer, Integer). Out p :- Pair(r, p), r > 1.", "k r", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(n_regionkey AS BIGINT) r FROM nation WHERE n_regionkey > 1")
+add("atom_expr", f"{I2} Out(e, u) :- Event(e, u), Event(e + 1, u).", "e u", "SELECT DISTINCT x.event_id e, x.user_id u FROM events x JOIN events y ON y.event_id = x.event_id + 1 AND x.user_id = y.user_id")
+add("repeated_variable", f"{I1} Out k :- Supplier(k, k).", "k", "SELECT DISTINCT s_suppkey k FROM supplier WHERE s_suppkey = s_nationkey")
+
+# Joins
+add("natural_join", "define output Out(Integer, String). Out(c, m) :- Customer(c, n), Nation(n, m, r).", "c m", "SELECT DISTINCT c_custkey c, n_name m FROM customer JOIN nation ON c_nationkey = n_nationkey")
+add("multiway_join", "define output Out(Integer, String, String). Out(c, m, g) :- Customer(c, n), Nation(n, m, r), Region(r, g).", "c m g", "SELECT DISTINCT c_custkey c, n_name m, r_name g FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+add("cross_join", f"{I2} Out(a, b) :- Region(a, x), Nation(b, y, z).", "a b", "SELECT DISTINCT CAST(r_regionkey AS BIGINT) a, CAST(n_nationkey AS BIGINT) b FROM region, nation")
+add("self_join", f"{I3} Out(n, a, b) :- Supplier(a, n), Supplier(b, n), a < b.", "n a b", "SELECT DISTINCT CAST(x.s_nationkey AS BIGINT) n, x.s_suppkey a, y.s_suppkey b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey")
+add("theta_join", f"{I2} Out(a, b) :- Nation(a, n, r), Supplier(b, m), a < m, b < 50.", "a b", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) a, s_suppkey b FROM nation, supplier WHERE n_nationkey < s_nationkey AND s_suppkey < 50")
+add("computed_key_join", f"{I3} Out(e, u, v) :- Event(e, u), f = e + 1, Event(f, v).", "e u v", "SELECT DISTINCT x.event_id e, x.user_id u, y.user_id v FROM events x JOIN events y ON y.event_id = x.event_id + 1")
+add("semi_join", f"{I1} Out c :- Customer(c, n), Orders(o, c).", "c", "SELECT DISTINCT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+add("antijoin", f"define Buyer Integer. Buyer c :- Orders(o, c), o >= 200. {I1} Out c :- Customer(c, n), !Buyer c.", "c", "SELECT DISTINCT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey >= 200)")
+add("antijoin_const", f"{I1} Out p :- Part(p, s), !Part(p, 10).", "p", "SELECT DISTINCT p_partkey p FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 10)")
+add("line_part_join", f"{I3} Out(o, p, s) :- Line(o, n, p), Part(p, s), s > 45.", "o p s", "SELECT DISTINCT l_orderkey o, l_partkey p, CAST(p_size AS BIGINT) s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45")
+
+# Sets
+add("union_rules", f"{I1} Out n :- Customer(c, n). Out n :- Supplier(s, n).", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier")
+add("union_bodies", f"{I1} Out n :- Customer(c, n), c < 5 :- Supplier(s, n), s < 5.", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer WHERE c_custkey < 5 UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_suppkey < 5")
+add("or_merge", f"{I1} Out k :- Customer(k, 3) || Supplier(k, 4).", "k", "SELECT c_custkey k FROM customer WHERE c_nationkey = 3 UNION SELECT s_suppkey FROM supplier WHERE s_nationkey = 4")
+add("not_or", f"{I1} Out k :- Part(k, s), !(Part(k, 10) || s < 5).", "k", "SELECT DISTINCT p_partkey k FROM part WHERE p_size <> 10 AND p_size >= 5")
+add("intersect", f"define A Integer. A n :- Customer(c, n), c < 30. define B Integer. B n :- Supplier(s, n), s < 30. {I1} Out n :- A n, B n.", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer WHERE c_custkey < 30 INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_suppkey < 30")
+add("difference", f"define A Integer. A n :- Customer(c, n), c < 60. define B Integer. B n :- Supplier(s, n), s < 12. {I1} Out n :- A n, !B n.", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer WHERE c_custkey < 60 EXCEPT SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_suppkey < 12")
+
+
+@query("program_merge", "SELECT CAST(r_regionkey AS BIGINT) k FROM region UNION SELECT CAST(n_nationkey AS BIGINT) FROM nation UNION SELECT 99")
+def program_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _ = program_of(f"{I1} Out k :- Region(k, n). Out 99.")
+    b, _ = program_of(f"{I1} Out k :- Nation(k, n, r).")
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{TABLES[n][1]}.parquet").select(*TABLES[n][2])
+    return decide(spark, a.merge(b), {n: read(n) for n in ("Region", "Nation")}).outputs["Out"].toDF("k")
+
+
+# Scalars
+add("int_div", f"{I3} Out(k, a, b) :- Nation(k, n, r), a = (k - 12) / 5, b = (k - 12) / -5.", "k a b", "SELECT CAST(n_nationkey AS BIGINT) k, CAST((n_nationkey - 12) // 5 AS BIGINT) a, CAST((n_nationkey - 12) // -5 AS BIGINT) b FROM nation")
+add("int_ops", f"{I3} Out(k, a, b) :- Nation(k, n, r), a = -k * r - 3, b = 2 + r * r.", "k a b", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(-n_nationkey * n_regionkey - 3 AS BIGINT) a, CAST(2 + n_regionkey * n_regionkey AS BIGINT) b FROM nation")
+add("real_ops", "define output Out(Integer, Integer, Real, Real). Out(o, l, x, y) :- Price(o, l, p, d), x = p - p * d, y = -p + d, o < 200.", "o l x y", "SELECT DISTINCT l_orderkey o, CAST(l_linenumber AS BIGINT) l, l_extendedprice - l_extendedprice * l_discount x, -l_extendedprice + l_discount y FROM lineitem WHERE l_orderkey < 200")
+add("real_div0", "define output Out(Integer, Real, Boolean). Out(s, x, y) :- Balance(s, b), z = b - b, x = b / z, y = (z / z = z / z).", "s x y", "SELECT s_suppkey s, CASE WHEN s_acctbal > 0 THEN 'Infinity'::DOUBLE WHEN s_acctbal < 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END x, TRUE y FROM supplier")
+add("concat", "define output Out(Integer, String). Out(p, x) :- Label(p, b, t), x = b .. t .. b.", "p x", "SELECT DISTINCT p_partkey p, p_brand || p_type || p_brand x FROM part")
+add("bool_ops", "define output Out(Integer, Boolean, Boolean). Out(p, x, y) :- Part(p, s), x = (s < 10 || s > 40), y = (!x && p > 100).", "p x y", "SELECT p_partkey p, p_size < 10 OR p_size > 40 x, NOT (p_size < 10 OR p_size > 40) AND p_partkey > 100 y FROM part")
+add("str_cmp", "define output Out(String, String). Out(a, b) :- Nation(k, a, r), Nation(l, b, r), a < b.", "a b", "SELECT DISTINCT x.n_name a, y.n_name b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name")
+add("cmp_all", "define output Out(Integer, Boolean, Boolean, Boolean, Boolean). Out(k, a, b, c, d) :- Nation(k, n, r), a = (k <= 12), b = (k >= 12), c = (k > 12), d = (k != 12).", "k a b c d", "SELECT CAST(n_nationkey AS BIGINT) k, n_nationkey <= 12 a, n_nationkey >= 12 b, n_nationkey > 12 c, n_nationkey <> 12 d FROM nation")
+add("same_level", "define output Out Integer. Out k :- Nation(k, n, r), r = 1 || r = 2 && k > 9.", "k", "SELECT CAST(n_nationkey AS BIGINT) k FROM nation WHERE (n_regionkey = 1 OR n_regionkey = 2) AND n_nationkey > 9")
+
+# Recursion
+add("gen_range", f"{I1} Out 1. Out a :- Out b, b < 100, a = b + 1.", "n", "SELECT range AS n FROM range(1, 101)")
+PARENTS = "define Up(Integer, Integer). Up(p, q) :- Part(p, s), p > 0, q = p / 2."
+ANCESTORS = "WITH RECURSIVE up AS (SELECT p_partkey p, p_partkey // 2 q FROM part WHERE p_partkey > 0), t(p, q) AS (SELECT p, q FROM up UNION SELECT t.p, up.q FROM t JOIN up ON t.q = up.p) SELECT CAST(p AS BIGINT) p, CAST(q AS BIGINT) q FROM t"
+add("ancestor", f"{PARENTS} {I2} Out(p, q) :- Up(p, q). Out(p, r) :- Out(p, q), Up(q, r).", "p q", ANCESTORS)
+add("ancestor_nonlinear", f"{PARENTS} {I2} Out(p, q) :- Up(p, q). Out(p, r) :- Out(p, q), Out(q, r).", "p q", ANCESTORS)
+RING = "define Next(Integer, Integer). Next(a, b) :- Nation(a, n, r), b = a + 1, a < 24. Next(24, 0)."
+add("reach_cycle", f"{RING} {I2} Out(a, b) :- Next(a, b). Out(a, c) :- Out(a, b), Next(b, c).", "a b", "SELECT CAST(x.n_nationkey AS BIGINT) a, CAST(y.n_nationkey AS BIGINT) b FROM nation x, nation y")
+add("mutual_even_odd", f"define Odd Integer. define Even Integer. Even 0. Odd a :- Even b, b < 50, a = b + 1. Even a :- Odd b, b < 50, a = b + 1. {I2} Out(0, a) :- Even a. Out(1, a) :- Odd a.", "odd n", "SELECT range % 2 AS odd, range AS n FROM range(0, 51)")
+REACH = "define Reach Integer. Reach 0. Reach b :- Reach a, a < 15, b = a + 3."
+add("strat_neg", f"{REACH} {I1} Out k :- Nation(k, n, r), !Reach k.", "k", "SELECT CAST(n_nationkey AS BIGINT) k FROM nation WHERE NOT (n_nationkey <= 15 AND n_nationkey % 3 = 0)")
+add("two_strata", f"{REACH} define Far Integer. Far k :- Nation(k, n, r), !Reach k. {I1} Out k :- Nation(k, n, r), !Far k.", "k", "SELECT CAST(n_nationkey AS BIGINT) k FROM nation WHERE n_nationkey <= 15 AND n_nationkey % 3 = 0")
+
+# Decisions with one answer
+add("dec_force_all", "define output decision Out Integer. Out k :- Nation(k, n, r). constrain (k) = 0 :- Nation(k, n, r), !Out k.", "k", "SELECT CAST(n_nationkey AS BIGINT) k FROM nation")
+add("dec_forbid", "define output decision Out Integer. Out k :- Nation(k, n, r). constrain = 0 :- Out k, Nation(k, n, 2). constrain >= 20 :- Out k.", "k", "SELECT CAST(n_nationkey AS BIGINT) k FROM nation WHERE n_regionkey <> 2")
+add("dec_unique_min", "define output decision Out(Integer, Integer). Out(n, s) :- Supplier(s, n). constrain (n) = 1 :- Out(n, s). constrain (n, s) = 0 :- Out(n, s), Supplier(t, n), t < s.", "n s", "SELECT CAST(s_nationkey AS BIGINT) n, min(s_suppkey) s FROM supplier GROUP BY s_nationkey")
+SOFT = "define output decision Out(Integer, Integer). Out(r, k) :- Nation(k, n, r). define After(Integer, Integer). After(k, j) :- Nation(k, n, r), Nation(j, m, r), j < k. define First Integer. First k :- Nation(k, n, r), !Late k. define Late Integer. Late k :- After(k, j). constrain (r) = 1 :- Out(r, k). constrain (k) = 0 :- Out(r, k), First k. constrain soft(1) (k) = 0 :- Out(r, k), Late k. constrain soft(2) (k) = 0 :- Out(r, k), After(k, j), After(j, i)."
+add("dec_soft_opt", SOFT, "r k", "SELECT CAST(n_regionkey AS BIGINT) r, CAST(n_nationkey AS BIGINT) k FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) i FROM nation) WHERE i = 2")
+add("dec_conditional", "define decision Pick Integer. Pick k :- Nation(k, n, r). constrain = 0 :- Pick k, Nation(k, n, 1). constrain (k) = 0 :- Nation(k, n, 3), !Pick k. constrain (k) = 0 :- Nation(k, n, r), r != 3, Pick k. define output Out String. Out n :- Pick k, Nation(k, n, r).", "n", "SELECT n_name n FROM nation WHERE n_regionkey = 3")
+
+
+@query("dec_soft_cost", "SELECT 'SAT' status, CAST(5 AS BIGINT) cost")
+def dec_soft_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_text(spark, sf_dir, SOFT)
+    return spark.createDataFrame([(found.status, found.cost)], "status string, cost long")
+
+
+@query("dec_unsat", "SELECT 'UNSAT' status, CAST(0 AS BIGINT) n")
+def dec_unsat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_text(spark, sf_dir, "define output decision Out Integer. Out k :- Region(k, n). constrain = 1 :- Out k. constrain >= 2 :- Out k.")
+    return spark.createDataFrame([(found.status, found.outputs["Out"].count())], "status string, n long")
+
+
+SEATS = "define output decision Seat(Integer, Integer). Seat(r, c) :- Nation(r, n, g), Nation(c, m, h), r < 8, c < 8."
+QUEENS = f"{SEATS} constrain (r) = 1 :- Seat(r, c). constrain (c) = 1 :- Seat(r, c). constrain (d) <= 1 :- Seat(r, c), d = r + c. constrain (d) <= 1 :- Seat(r, c), d = r - c."
+
+
+@query("circuit_terms", "WITH b AS (SELECT r.range AS r, c.range AS c FROM range(8) r, range(8) c), g AS (SELECT 0 cid, r k FROM b UNION ALL SELECT 1, c FROM b UNION ALL SELECT 2, r + c FROM b UNION ALL SELECT 3, r - c FROM b) SELECT CAST(cid AS INT) cid, '{\"k0\":' || k || '}' grp, count(*) n FROM g GROUP BY cid, k")
+def circuit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_text(spark, sf_dir, QUEENS).terms.groupBy("cid", F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("circuit_support", "SELECT 'Out' relation, TRUE uncond, CAST(25 AS BIGINT) n UNION ALL SELECT 'Both', FALSE, 10")
+def circuit_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "define output decision Out Integer. Out k :- Nation(k, n, r). define output Both Integer. Both r :- Out k, Nation(k, n, r). Both r :- Nation(k, n, q), !Out k, r = q + 10."
+    return support(run_text(spark, sf_dir, text).implies).groupBy("relation", "uncond").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("constraint_groups", "SELECT 'Only' kind, CAST(1 AS BIGINT) threshold, CAST(16 AS BIGINT) n UNION ALL SELECT 'AtMost', 1, 30")
+def constraint_groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program, _ = program_of(QUEENS)
+    return constraint_groups(program, run_text(spark, sf_dir, QUEENS).terms).groupBy("kind", "threshold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("nqueens", "SELECT 'SAT' status, CAST(8 AS BIGINT) n, CAST(0 AS BIGINT) clashes")
+def nqueens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_text(spark, sf_dir, QUEENS)
+    a, b = found.outputs["Seat"].toDF("r", "c"), found.outputs["Seat"].toDF("s", "d")
+    clash = a.join(b, (F.col("r") < F.col("s")) & ((F.col("c") == F.col("d")) | (F.abs(F.col("c") - F.col("d")) == F.col("s") - F.col("r"))))
+    return a.agg(F.lit(found.status).alias("status"), F.count(F.lit(1)).alias("n")).withColumn("clashes", F.lit(clash.count()))
+
+
+@query("max_queens", "SELECT 'SAT' status, CAST(56 AS BIGINT) cost, CAST(8 AS BIGINT) n")
+def max_queens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_text(spark, sf_dir, QUEENS.replace(") = 1", ") <= 1") + " constrain soft(1) (r, c) = 1 :- Seat(r, c).")
+    return spark.createDataFrame([(found.status, found.cost, found.outputs["Seat"].count())], "status string, cost long, n long")
+
+
+@query("pick_pairs", "SELECT CAST(range AS BIGINT) tens, CAST(1 AS BIGINT) n FROM range(10)")
+def pick_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "define Base Integer. Base 0. Base a :- Base b, b < 100, a = b + 1. define output decision Pair(Integer, Integer). Pair(a, b) :- Base a, Base b, a < b. constrain (t) = 1 :- Pair(a, b), t = a / 10."
+    found = run_text(spark, sf_dir, text).outputs["Pair"]
+    return found.groupBy(F.expr("c0 div 10").alias("tens")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# One answer is as good as another here: what is checked is that it breaks nothing.
+CHORES = """define Who Symbol. Who Ann. Who Bo. Who Cy. define Job Symbol. Job Cook. Job Wash. Job Shop. define Day Integer. Day 1. Day a :- Day b, b < 5, a = b + 1.
+define output decision Does(Day, Job, Who). Does(d, j, w) :- Day d, Job j, Who w. constrain (d, j) = 1 :- Does(d, j, w). constrain = 0 :- s + 1 = e, Does(s, j, w), Does(e, j, w)."""
+
+
+@query("chores", "SELECT 'SAT' status, CAST(15 AS BIGINT) n, CAST(0 AS BIGINT) again")
+def chores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_text(spark, sf_dir, CHORES)
+    a = found.outputs["Does"].toDF("d", "j", "w")
+    again = a.join(a.select((F.col("d") + 1).alias("d"), "j", "w"), ["d", "j", "w"]).count()
+    return spark.createDataFrame([(found.status, a.count(), again)], "status string, n long, again long")
+
+
+WARDROBE = """define Kind Symbol. Kind Top. Kind Leg. define Item Integer. Item 1. Item 2. Item 3. define Garment(Symbol, Integer). Garment(k, i) :- Kind k, Item i.
+define Day Integer. Day 1. Day a :- Day b, b < 7, a = b + 1. define output decision Wash Day. Wash d :- Day d. constrain soft(1) (d) = 0 :- Wash d.
+define output decision Worn(Day, Garment). Worn(d, g) :- Day d, Garment g. define output Clean(Day, Garment). Clean(0, g) :- Garment g. Clean(d, g) :- Wash d, Garment g.
+Clean(t, g) :- Clean(y, g), !Worn(y, g), Day t, t = y + 1. constrain (d, k) = 1 :- Worn(d, (k, i)), Clean(d, (k, i))."""
+
+
+@query("wardrobe", "SELECT 'SAT' status, CAST(2 AS BIGINT) cost, CAST(14 AS BIGINT) n")
+def wardrobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_text(spark, sf_dir, WARDROBE)
+    both = found.outputs["Worn"].join(found.outputs["Clean"], ["c0", "c1", "c2"]).select("c0", "c1").distinct().count()
+    return spark.createDataFrame([(found.status, found.cost, both)], "status string, cost long, n long")
+
+
+# Sessions
+PASS = "define input In(Integer, Integer). define output Out Integer. Out u :- In(e, u), e > 10."
+
+
+def _session(spark: SparkSession, sf_dir: str) -> tuple[Session, DataFrame]:
+    session = Session(spark)
+    session.set_program(compile_text(PASS))
+    return session, spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+
+
+@query("sess_insert_remove", "SELECT DISTINCT user_id u FROM events WHERE event_id > 10 AND event_id < 200 AND event_id >= 100")
+def sess_insert_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, rows = _session(spark, sf_dir)
+    session.update_input("In", rows.where("event_id < 200"))
+    session.update_input("In", rows.where("event_id < 100"), state=False)
+    return session.get_tuples("Out").toDF("u")
+
+
+@query("sess_clear", "SELECT CAST(77 AS BIGINT) u")
+def sess_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, rows = _session(spark, sf_dir)
+    session.update_input("In", rows)
+    session.clear_input("In")
+    session.get_input("In").insert((11, 77), (5, 1))
+    return session.get_tuples("Out").toDF("u")
+
+
+@query("sess_watch", "WITH o AS (SELECT DISTINCT user_id u FROM events WHERE event_id > 10 AND event_id < 60), n AS (SELECT DISTINCT user_id u FROM events WHERE event_id BETWEEN 40 AND 99) SELECT TRUE came, u FROM (SELECT u FROM n EXCEPT SELECT u FROM o) UNION ALL SELECT FALSE, u FROM (SELECT u FROM o EXCEPT SELECT u FROM n)")
+def sess_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, rows = _session(spark, sf_dir)
+    session.update_input("In", rows.where("event_id < 60"))
+    key = session.watch("Out")
+    session.changes(key)
+    tx = session.begin()
+    session.update_input("In", rows.where("event_id < 40"), False, tx)
+    session.update_input("In", rows.where("event_id between 60 and 99"), True, tx)
+    session.commit(tx)
+    return session.changes(key).toDF("came", "u")
+
+
+@query("sess_check_tuples", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), TRUE), (1, FALSE)) t(i, held)")
+def sess_check_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, _ = _session(spark, sf_dir)
+    session.get_input("In").insert((1, 2))
+    return spark.createDataFrame(list(enumerate(session.check_tuples("In", [(1, 2), (2, 1)]))), "i long, held boolean")
+
+
+@query("sess_relations", "SELECT * FROM (VALUES ('In', TRUE), ('Out', FALSE)) t(name, is_input)")
+def sess_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir)[0].list_relations().select("name", "is_input")
+
+
+@query("text_sink", "SELECT 'Out(' || n_nationkey || ', (' || n_regionkey || ', \"' || n_name || '\")).' line FROM nation")
+def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.text import lines
+
+    text = "define output Out(Integer, (Integer, String)). Out(k, (r, n)) :- Nation(k, n, r)."
+    program, _ = program_of(text)
+    return lines(run_text(spark, sf_dir, text).outputs["Out"], program.relations["Out"])
