@@ -86,7 +86,7 @@ add("self_join", f"{I3} Out(n, a, b) :- Supplier(a, n), Supplier(b, n), a < b.",
 add("theta_join", f"{I2} Out(a, b) :- Nation(a, n, r), Supplier(b, m), a < m, b < 50.", "a b", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) a, s_suppkey b FROM nation, supplier WHERE n_nationkey < s_nationkey AND s_suppkey < 50")
 add("computed_key_join", f"{I3} Out(e, u, v) :- Event(e, u), f = e + 1, Event(f, v).", "e u v", "SELECT DISTINCT x.event_id e, x.user_id u, y.user_id v FROM events x JOIN events y ON y.event_id = x.event_id + 1")
 add("semi_join", f"{I1} Out c :- Customer(c, n), Orders(o, c).", "c", "SELECT DISTINCT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-add("antijoin", f"define Buyer Integer. Buyer c :- Orders(o, c), o >= 200. {I1} Out c :- Customer(c, n), !Buyer c.", "c", "SELECT DISTINCT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey >= 200)")
+add("antijoin", f"define Buyer Integer. Buyer c :- Orders(o, c), o < 3000. {I1} Out c :- Customer(c, n), !Buyer c.", "c", "SELECT DISTINCT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey < 3000)")
 add("antijoin_const", f"{I1} Out p :- Part(p, s), !Part(p, 10).", "p", "SELECT DISTINCT p_partkey p FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 10)")
 add("line_part_join", f"{I3} Out(o, p, s) :- Line(o, n, p), Part(p, s), s > 45.", "o p s", "SELECT DISTINCT l_orderkey o, l_partkey p, CAST(p_size AS BIGINT) s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45")
 
