@@ -63,7 +63,8 @@ class _Kept(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, library: bool = False):
+        """With library, pieces are merged by the tokenizers library's own model; the ids are the same."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -82,7 +83,12 @@ class Encoder:
         self.last = [self.ids.get(x + self.suffix) for x in letters]
         self.split = regex.compile(SPLIT)
         self.find_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces = _Kept(self._piece, PIECES_KEPT)
+        self.letters = letters
+        if library:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(path).model
+        self.pieces = _Kept(self._library_piece if library else self._piece, PIECES_KEPT)
         self.words = _Kept(self._word, WORDS_KEPT)
 
     def _piece(self, piece: str) -> bytes:
@@ -90,6 +96,10 @@ class Encoder:
         symbols = [self.plain[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         return np.array(self.merged([s for s in symbols if s is not None]), "<u4").tobytes()
 
+    def _library_piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
     def merged(self, symbols: list[int]) -> list[int]:
         """Merges neighbours by rank, of equal ranks the leftmost first."""
         n, merges = len(symbols), self.merges
@@ -121,6 +131,10 @@ class Encoder:
         return [self.pieces[p] for p in self.split.findall(text)]
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone: nothing to normalise or split
+            return self.pieces[word.lower().decode()]
+        if word[-1:] in b".,|" and word[:-1].isalpha():
+            return self.pieces[word[:-1].lower().decode()] + self.pieces[word[-1:].decode()]
         text, out, at = word.decode("utf-8", "replace"), [], 0
         if self.find_special and "<|" in text:
             for m in self.find_special.finditer(text):
@@ -138,9 +152,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, library: bool = False) -> Encoder:
     """One encoder for each worker and file."""
-    return Encoder(path)
+    return Encoder(path, library)
 
 
 def encoded(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,7 +73,7 @@ def packed(df: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     def tokens(batches):
-        own = encoder(path)
+        own = encoder(path, True)
         mark = np.array([end], "<u4").tobytes()
         for batch in batches:
             blobs = []
@@ -98,7 +98,7 @@ def packed(df: DataFrame, path: str | None = None, length: int = LENGTH, end: in
         out["id"] = id_column(out["id"].to_numpy(np.int64))
         return out
 
-    kind = np.uint16 if max(*encoder(path).strings, end) < 1 << 16 else np.uint32
+    kind = np.uint16 if max(*encoder(path, True).strings, end) < 1 << 16 else np.uint32
     text = F.col(text_col)
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.crc32(text)), F.lit(buckets)).cast("int").alias("bucket")
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), bucket).mapInArrow(tokens, "id long, bucket int, ids binary")

@@ -8,7 +8,7 @@ from lodestone.llm import bpe
 from tests.llm import brute
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
-ODD = ["", None, " ", "<|endoftext|> and <|startoftext|>x<|endoftext|>", "It's we'll they'd I'VE", "ΑΣ Σ ΣΑΣ.", "é ́a ﬁ İI", "12 3½ ²x", "日本語 テスト 😀👍🏽", "a b c​d\x1cf", "\x00\x01 \x7f", "x" * 3000, "!!!???...---"]
+ODD = ["", None, " ", "<|endoftext|> and <|startoftext|>x<|endoftext|>", "It's we'll they'd I'VE", "ΑΣ Σ ΣΑΣ.", "é ́a ﬁ İI", "12 3½ ²x", "日本語 テスト 😀👍🏽", "a b c​d\x1cf", "\x00\x01 \x7f", "x" * 3000, "!!!???...---", "Word. word, a| |. .", "x," * 40]
 
 
 def texts():
@@ -21,10 +21,12 @@ def test_matches_the_library(spark):
     from tokenizers import Tokenizer
 
     own, theirs = bpe.encoder(bpe.vocabulary_path()), Tokenizer.from_file(bpe.vocabulary_path())
+    library = bpe.encoder(bpe.vocabulary_path(), True)
     for t in texts():
         want = theirs.encode(t or "", add_special_tokens=False).ids
         ids = own.encode((t or "").encode())
         assert np.frombuffer(ids, "<u4").tolist() == want, t
+        assert library.encode((t or "").encode()) == ids
         assert own.decode(ids) == theirs.decode(want, skip_special_tokens=False), t
 
 
