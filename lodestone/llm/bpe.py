@@ -63,8 +63,7 @@ class _Kept(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, library: bool = False):
-        """With library, pieces are merged by the tokenizers library's own model; the ids are the same."""
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -83,12 +82,7 @@ class Encoder:
         self.last = [self.ids.get(x + self.suffix) for x in letters]
         self.split = regex.compile(SPLIT)
         self.find_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.letters = letters
-        if library:
-            from tokenizers import Tokenizer
-
-            self.model = Tokenizer.from_file(path).model
-        self.pieces = _Kept(self._library_piece if library else self._piece, PIECES_KEPT)
+        self.pieces = _Kept(self._piece, PIECES_KEPT)
         self.words = _Kept(self._word, WORDS_KEPT)
 
     def _piece(self, piece: str) -> bytes:
@@ -96,10 +90,6 @@ class Encoder:
         symbols = [self.plain[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         return np.array(self.merged([s for s in symbols if s is not None]), "<u4").tobytes()
 
-    def _library_piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
-
     def merged(self, symbols: list[int]) -> list[int]:
         """Merges neighbours by rank, of equal ranks the leftmost first."""
         n, merges = len(symbols), self.merges
@@ -125,10 +115,14 @@ class Encoder:
                 heapq.heappush(queue, (found[0], p, symbols[p], new, found[1]))
         return [s for s in symbols if s >= 0]
 
-    def _plain(self, text: str) -> list[bytes]:
+    def split_pieces(self, text: str) -> list[str]:
+        """The pieces of a text without special tokens, normalised."""
         # lower case letter by letter: a capital sigma doesn't look at what follows
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [self.pieces[p] for p in self.split.findall(text)]
+        return self.split.findall(text)
+
+    def _plain(self, text: str) -> list[bytes]:
+        return [self.pieces[p] for p in self.split_pieces(text)]
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters alone: nothing to normalise or split
@@ -152,9 +146,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, library: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each worker and file."""
-    return Encoder(path, library)
+    return Encoder(path)
 
 
 def encoded(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

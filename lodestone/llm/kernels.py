@@ -60,8 +60,8 @@ def _lane(number: int) -> _Lane:
     return _lanes[number]
 
 
-def _piece(buf: np.ndarray, lane: _Lane, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words in buf, which ends with white space."""
+def _piece(buf: np.ndarray, lane: _Lane, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words in buf, which ends with white space."""
     space = _SPACE[buf]
     before = np.empty_like(space)
     before[0] = True
@@ -74,26 +74,31 @@ def _piece(buf: np.ndarray, lane: _Lane, lower: bool) -> tuple[np.ndarray, np.nd
     values *= up
     np.cumsum(values, out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
-    return mix(hashes + (ends - starts).astype(_U) * _C1), starts
+    return mix(hashes + (ends - starts).astype(_U) * _C1), starts, ends
 
 
-def words(texts: list[bytes], lower: bool = False, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one after the other, and where each text's words begin, with the end."""
+def word_spans(texts: list[bytes], lower: bool = False, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """As words(), and each word's start and end in the joined texts, which come last."""
     joined = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(joined, np.uint8)
     begins = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
-    hashes, starts, at = [], [], 0
+    found, at = [], 0
     own = _lane(lane)
     while at < len(buf):
         stop = min(at + PIECE, len(buf))
         while not _SPACE[buf[stop - 1]]:
             stop += 1
-        h, s = _piece(buf[at:stop], own, lower)
-        hashes.append(h)
-        starts.append(s + at)
+        h, s, e = _piece(buf[at:stop], own, lower)
+        found.append((h, s + at, e + at))
         at = stop
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found))
+    return hashes, np.searchsorted(starts, begins), starts, ends, joined
+
+
+def words(texts: list[bytes], lower: bool = False, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after the other, and where each text's words begin, with the end."""
+    return word_spans(texts, lower, lane)[:2]
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:

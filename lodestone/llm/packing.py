@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bpe import encoder, vocabulary_path
+from .bulk_bpe import encode_all
 from .chunks import NO_ID, id_column
 from .common import documents, ready
 
@@ -73,19 +74,16 @@ def packed(df: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     def tokens(batches):
-        own = encoder(path, True)
-        mark = np.array([end], "<u4").tobytes()
         for batch in batches:
-            blobs = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                blobs.append(K.squeeze(np.frombuffer(own.encode(text or b"") + mark, "<u4")))
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            blobs = [K.squeeze(np.append(ids, end).astype(kind)) for ids in encode_all(path, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], ["id", "bucket", "ids"])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["id"].to_numpy(np.int64)
         blobs = rows["ids"].tolist()
         order = sorted(range(len(blobs)), key=lambda i: (ids[i], blobs[i]))
-        ids, held = ids[order], [K.unsqueeze(blobs[i], "<u4").astype(kind) for i in order]
+        ids, held = ids[order], [K.unsqueeze(blobs[i], kind) for i in order]
         pieces = sorted(assign([len(x) for x in held], length), key=lambda p: (p[3], -p[2], p[0], p[1]))
         out, last, offset = [], None, 0
         for i, start, n, sequence in pieces:
@@ -98,7 +96,7 @@ def packed(df: DataFrame, path: str | None = None, length: int = LENGTH, end: in
         out["id"] = id_column(out["id"].to_numpy(np.int64))
         return out
 
-    kind = np.uint16 if max(*encoder(path, True).strings, end) < 1 << 16 else np.uint32
+    kind = np.uint16 if max(*encoder(path).strings, end) < 1 << 16 else np.uint32
     text = F.col(text_col)
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.crc32(text)), F.lit(buckets)).cast("int").alias("bucket")
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), bucket).mapInArrow(tokens, "id long, bucket int, ids binary")
