@@ -101,6 +101,18 @@ def words(texts: list[bytes], lower: bool = False, lane: int = 0) -> tuple[np.nd
     return word_spans(texts, lower, lane)[:2]
 
 
+def slices(texts: list[bytes], most: int = 4 << 20):
+    """(from, to) of runs of texts that are of bounded size together."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield start, len(texts)
+
+
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of sequences from those of their two parts; the order counts."""
     return mix(a * _C1 + b)

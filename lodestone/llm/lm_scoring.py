@@ -37,6 +37,7 @@ GROUPS = 4
 BANDS = 4
 ROUNDS = 8
 FOLDS = 10
+SLICE = 8 << 20  # bytes of text that a task counts at once
 WEIGHT = 5.0  # tokens that the classes' own shares count for
 
 END = 0
@@ -104,9 +105,9 @@ def _frequent(docs: DataFrame, number: int) -> tuple[np.ndarray, np.ndarray, int
             ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
             texts = [t or b"" for t, out in zip(texts, held_out(ids)) if not out]
             rows = []
-            if texts:
-                hashes, n = np.unique(K.words(texts, lower=True)[0], return_counts=True)
-                rows = C.send(0, hashes, number, n.astype(np.uint32))
+            for a, z in K.slices(texts, SLICE):
+                hashes, n = np.unique(K.words(texts[a:z], lower=True)[0], return_counts=True)
+                rows += C.send(0, hashes, number, n.astype(np.uint32))
             rows.append((-1, 0, K.pack(np.zeros(0, np.uint64)), K.squeeze(np.array([len(texts)], np.uint32))))
             yield pa.RecordBatch.from_pandas(C.frame(rows, ["part", "chunk"], 1).astype({"part": np.int32, "chunk": np.int32}), preserve_index=False)
 
@@ -137,13 +138,14 @@ def _bigrams(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
     def count(batches):
         for batch in batches:
             texts = [t or b"" for t, out in zip(batch.column(1).cast(pa.binary()).to_pylist(), held_out(batch.column(0).to_numpy())) if not out]
-            h, begins = K.words(texts, lower=True)
-            there, at = K.member(h, frequent)
-            # an end before and after every text
-            line = np.insert(np.where(there, at + 1, -1), begins, 0) if texts else np.zeros(0, np.int64)
-            ok = (line[:-1] >= 0) & (line[1:] >= 0)
-            pair, n = np.unique(line[:-1][ok] * size + line[1:][ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+            for a, z in K.slices(texts, SLICE):
+                h, begins = K.words(texts[a:z], lower=True)
+                there, at = K.member(h, frequent)
+                # an end before and after every text
+                line = np.insert(np.where(there, at + 1, -1), begins, 0)
+                ok = (line[:-1] >= 0) & (line[1:] >= 0)
+                pair, n = np.unique(line[:-1][ok] * size + line[1:][ok], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
 
     found = docs.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, np.int64)

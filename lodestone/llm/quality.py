@@ -67,18 +67,6 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(stats).reshape(len(texts), len(STATS)), words
 
 
-def _slices(texts: list[bytes], most: int = 4 << 20):
-    """Runs of texts of bounded size together."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
     """Weights, the last one the intercept, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -222,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def read(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, z in _slices(texts):
+            for a, z in K.slices(texts):
                 stats, words = _features(texts[a:z])
                 part = batch.slice(a, z - a)
                 columns = [part.column(0), part.column(5), part.column(2), part.column(3), part.column(4), pa.array(list(stats), pa.list_(pa.float64())), pa.array([w.tobytes() for w in words], pa.binary())]
@@ -245,7 +233,7 @@ def _scorer(model: Model | None):
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             meta = _meta(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
-            for a, z in _slices(texts):
+            for a, z in K.slices(texts):
                 if model is None:
                     scores = (np.ones(z - a),) * 3
                 else:
