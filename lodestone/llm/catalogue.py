@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, lm_scoring, ngram_join, packing, quality, secrets, sharding, substring_dedup
+from . import ann, bpe, exact_dedup, lm_scoring, ngram_join, oracles, packing, quality, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_join": oracles.NGRAM_JOIN,
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
