@@ -67,6 +67,7 @@ add("scan_nation", "define output Out(Integer, String). Out(k, n) :- Nation(k, n
 add("const_scan", "define output Out(Integer, String). Out(k, n) :- Nation(k, n, 2).", "k n", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) k, n_name n FROM nation WHERE n_regionkey = 2")
 add("facts_values", "define Colour Symbol. Colour Red. Colour Blue. Colour Red. define output Out(Symbol, Integer). Out(c, -3) :- Colour c. Out(Green, 0).", "c n", "SELECT * FROM (VALUES ('Red', CAST(-3 AS BIGINT)), ('Blue', -3), ('Green', 0)) t(c, n)")
 add("timestamp_scan", "define output Out(Integer, Integer). Out(e, t) :- Stamp(e, t), e < 500.", "e t", "SELECT event_id e, epoch_us(ts) t FROM events WHERE event_id < 500")
+add("timestamp_scan_all", "define output Out(Integer, Integer). Out(e, t) :- Stamp(e, t).", "e t", "SELECT DISTINCT event_id e, epoch_us(ts) t FROM events")
 add("filter_cmp", f"{I2} Out(p, s) :- Part(p, s), s >= 10, s < 20, p != 7.", "p s", "SELECT DISTINCT p_partkey p, CAST(p_size AS BIGINT) s FROM part WHERE p_size >= 10 AND p_size < 20 AND p_partkey <> 7")
 add("let_arith", f"{I1} Out x :- Line(o, n, p), x = o * 10 + n.", "x", "SELECT DISTINCT l_orderkey * 10 + l_linenumber x FROM lineitem")
 add("head_const", "define output Out(Symbol, Integer). Out(Land, k) :- Region(k, n).", "kind k", "SELECT 'Land' kind, CAST(r_regionkey AS BIGINT) k FROM region")
@@ -84,19 +85,24 @@ add("multiway_join", "define output Out(Integer, String, String). Out(c, m, g) :
 add("cross_join", f"{I2} Out(a, b) :- Region(a, x), Nation(b, y, z).", "a b", "SELECT DISTINCT CAST(r_regionkey AS BIGINT) a, CAST(n_nationkey AS BIGINT) b FROM region, nation")
 add("self_join", f"{I3} Out(n, a, b) :- Supplier(a, n), Supplier(b, n), a < b.", "n a b", "SELECT DISTINCT CAST(x.s_nationkey AS BIGINT) n, x.s_suppkey a, y.s_suppkey b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey")
 add("theta_join", f"{I2} Out(a, b) :- Nation(a, n, r), Supplier(b, m), a < m, b < 50.", "a b", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) a, s_suppkey b FROM nation, supplier WHERE n_nationkey < s_nationkey AND s_suppkey < 50")
+add("theta_join_all", f"{I2} Out(a, b) :- Nation(a, n, r), Supplier(b, m), a < m.", "a b", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) a, s_suppkey b FROM nation, supplier WHERE n_nationkey < s_nationkey")
 add("computed_key_join", f"{I3} Out(e, u, v) :- Event(e, u), f = e + 1, Event(f, v).", "e u v", "SELECT DISTINCT x.event_id e, x.user_id u, y.user_id v FROM events x JOIN events y ON y.event_id = x.event_id + 1")
 add("semi_join", f"{I1} Out c :- Customer(c, n), Orders(o, c).", "c", "SELECT DISTINCT c_custkey c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 add("antijoin", f"define Buyer Integer. Buyer c :- Orders(o, c), o < 3000. {I1} Out c :- Customer(c, n), !Buyer c.", "c", "SELECT DISTINCT c_custkey c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey < 3000)")
+add("antijoin_all", f"define Big Integer. Big p :- Part(p, s), s >= 25. {I2} Out(o, p) :- Line(o, n, p), !Big p.", "o p", "SELECT DISTINCT l_orderkey o, l_partkey p FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size >= 25)")
 add("antijoin_const", f"{I1} Out p :- Part(p, s), !Part(p, 10).", "p", "SELECT DISTINCT p_partkey p FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 10)")
 add("line_part_join", f"{I3} Out(o, p, s) :- Line(o, n, p), Part(p, s), s > 45.", "o p s", "SELECT DISTINCT l_orderkey o, l_partkey p, CAST(p_size AS BIGINT) s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 45")
 
 # Sets
 add("union_rules", f"{I1} Out n :- Customer(c, n). Out n :- Supplier(s, n).", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier")
 add("union_bodies", f"{I1} Out n :- Customer(c, n), c < 5 :- Supplier(s, n), s < 5.", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer WHERE c_custkey < 5 UNION SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_suppkey < 5")
+add("union_bodies_all", f"{I1} Out n :- Part(n, s) :- Supplier(n, m) :- Customer(c, n).", "n", "SELECT CAST(p_partkey AS BIGINT) n FROM part UNION SELECT s_suppkey FROM supplier UNION SELECT CAST(c_nationkey AS BIGINT) FROM customer")
 add("or_merge", f"{I1} Out k :- Customer(k, 3) || Supplier(k, 4).", "k", "SELECT c_custkey k FROM customer WHERE c_nationkey = 3 UNION SELECT s_suppkey FROM supplier WHERE s_nationkey = 4")
 add("not_or", f"{I1} Out k :- Part(k, s), !(Part(k, 10) || s < 5).", "k", "SELECT DISTINCT p_partkey k FROM part WHERE p_size <> 10 AND p_size >= 5")
 add("intersect", f"define A Integer. A n :- Customer(c, n), c < 30. define B Integer. B n :- Supplier(s, n), s < 30. {I1} Out n :- A n, B n.", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer WHERE c_custkey < 30 INTERSECT SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_suppkey < 30")
+add("intersect_all", f"define A Integer. A c :- Customer(c, n). define B Integer. B c :- Orders(o, c). {I1} Out c :- A c, B c.", "c", "SELECT CAST(c_custkey AS BIGINT) c FROM customer INTERSECT SELECT CAST(o_custkey AS BIGINT) FROM orders")
 add("difference", f"define A Integer. A n :- Customer(c, n), c < 60. define B Integer. B n :- Supplier(s, n), s < 12. {I1} Out n :- A n, !B n.", "n", "SELECT CAST(c_nationkey AS BIGINT) n FROM customer WHERE c_custkey < 60 EXCEPT SELECT CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_suppkey < 12")
+add("difference_all", f"define A Integer. A p :- Part(p, s). define B Integer. B p :- Part(p, s), s < 12. {I1} Out p :- A p, !B p.", "p", "SELECT CAST(p_partkey AS BIGINT) p FROM part EXCEPT SELECT CAST(p_partkey AS BIGINT) FROM part WHERE p_size < 12")
 
 
 @query("program_merge", "SELECT CAST(r_regionkey AS BIGINT) k FROM region UNION SELECT CAST(n_nationkey AS BIGINT) FROM nation UNION SELECT 99")
@@ -111,6 +117,7 @@ def program_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("int_div", f"{I3} Out(k, a, b) :- Nation(k, n, r), a = (k - 12) / 5, b = (k - 12) / -5.", "k a b", "SELECT CAST(n_nationkey AS BIGINT) k, CAST((n_nationkey - 12) // 5 AS BIGINT) a, CAST((n_nationkey - 12) // -5 AS BIGINT) b FROM nation")
 add("int_ops", f"{I3} Out(k, a, b) :- Nation(k, n, r), a = -k * r - 3, b = 2 + r * r.", "k a b", "SELECT CAST(n_nationkey AS BIGINT) k, CAST(-n_nationkey * n_regionkey - 3 AS BIGINT) a, CAST(2 + n_regionkey * n_regionkey AS BIGINT) b FROM nation")
 add("real_ops", "define output Out(Integer, Integer, Real, Real). Out(o, l, x, y) :- Price(o, l, p, d), x = p - p * d, y = -p + d, o < 200.", "o l x y", "SELECT DISTINCT l_orderkey o, CAST(l_linenumber AS BIGINT) l, l_extendedprice - l_extendedprice * l_discount x, -l_extendedprice + l_discount y FROM lineitem WHERE l_orderkey < 200")
+add("real_ops_all", "define output Out(Integer, Integer, Real, Real). Out(o, l, x, y) :- Price(o, l, p, d), x = p - p * d, y = -p + d.", "o l x y", "SELECT DISTINCT l_orderkey o, CAST(l_linenumber AS BIGINT) l, l_extendedprice - l_extendedprice * l_discount x, -l_extendedprice + l_discount y FROM lineitem")
 add("real_div0", "define output Out(Integer, Real, Boolean). Out(s, x, y) :- Balance(s, b), z = b - b, x = b / z, y = (z / z = z / z).", "s x y", "SELECT s_suppkey s, CASE WHEN s_acctbal > 0 THEN 'Infinity'::DOUBLE WHEN s_acctbal < 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END x, TRUE y FROM supplier")
 add("concat", "define output Out(Integer, String). Out(p, x) :- Label(p, b, t), x = b .. t .. b.", "p x", "SELECT DISTINCT p_partkey p, p_brand || p_type || p_brand x FROM part")
 add("bool_ops", "define output Out(Integer, Boolean, Boolean). Out(p, x, y) :- Part(p, s), x = (s < 10 || s > 40), y = (!x && p > 100).", "p x y", "SELECT p_partkey p, p_size < 10 OR p_size > 40 x, NOT (p_size < 10 OR p_size > 40) AND p_partkey > 100 y FROM part")
@@ -238,6 +245,14 @@ def sess_insert_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.get_tuples("Out").toDF("u")
 
 
+@query("sess_insert_remove_all", "SELECT DISTINCT user_id u FROM events WHERE event_id > 10 AND user_id % 3 <> 0")
+def sess_insert_remove_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, rows = _session(spark, sf_dir)
+    session.update_input("In", rows)
+    session.update_input("In", rows.where("user_id % 3 = 0"), state=False)
+    return session.get_tuples("Out").toDF("u")
+
+
 @query("sess_clear", "SELECT CAST(77 AS BIGINT) u")
 def sess_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     session, rows = _session(spark, sf_dir)
@@ -260,6 +275,19 @@ def sess_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.changes(key).toDF("came", "u")
 
 
+@query("sess_watch_all", "SELECT user_id % 3 = 2 came, user_id u FROM events WHERE event_id > 10 AND user_id % 3 <> 1 GROUP BY user_id")
+def sess_watch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, rows = _session(spark, sf_dir)
+    session.update_input("In", rows.where("user_id % 3 < 2"))
+    key = session.watch("Out")
+    session.changes(key)
+    tx = session.begin()
+    session.update_input("In", rows.where("user_id % 3 = 0"), False, tx)
+    session.update_input("In", rows.where("user_id % 3 = 2"), True, tx)
+    session.commit(tx)
+    return session.changes(key).toDF("came", "u")
+
+
 @query("sess_check_tuples", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), TRUE), (1, FALSE)) t(i, held)")
 def sess_check_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     session, _ = _session(spark, sf_dir)
