@@ -1,15 +1,18 @@
 """Quality classification by co-training.
 
 Two views of a document are learned apart: its text content (counts of byte kinds, repetition, and words that tell the
-classes apart) and its page metadata (source, language, recorded size). Over ``ROUNDS`` rounds each view labels the
-unlabelled documents it is surest of, and the other one learns from them. Both are calibrated on labelled documents kept
+classes apart) and its page metadata (source, language, recorded size). In each of ``ROUNDS`` rounds each view scores all
+unlabelled documents, and the other one learns from every one it is sure of (``SURE``). Both are calibrated on labelled documents kept
 apart, and the calibrated views are combined into one probability that scores every document. A document is good when its label
 says quality 1 and toxic 0.
 
-Learning takes at most ``LABELLED`` labelled and ``UNLABELLED`` other documents, picked by hash of the id; scoring takes
-every document and whole texts. The sample's features, not its texts, reach the driver.
+Learning takes at most ``LABELLED`` labelled documents, picked by hash of the id, and all unlabelled ones; scoring takes every
+document and whole texts. The labelled sample's features reach the driver. The unlabelled documents stay on the executors, as
+bits of the views' columns; of them the driver gets sums alone (the gradient and the Hessian of each view and class), whose
+size doesn't depend on the input. A class's pseudo-labels together never weigh more than its labels.
 
-Defined results: null texts count as empty, null metadata as a value of its own; labels that are null or contradict each other
+Defined results: null texts count as empty, null metadata as a value of its own; rows that repeat a labelled id are averaged
+into one document for learning, with the words of all; labels that are null or contradict each other
 are left out; with fewer than ``LEAST`` usable labels of either kind every document scores 1 and stays; rows that repeat
 an id are scored one by one; an empty table gives an empty result; other columns, whatever their names, take no part.
 """
@@ -17,21 +20,24 @@ an id are scored one by one; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, ready
+from .common import documents, ready, settle
 
 LABELLED = 8000
-UNLABELLED = 3000
 LEAST = 8
 ROUNDS = 3
-SURE = 0.05  # share of the unlabelled documents that a view labels in a round
+STEPS = 4  # of Newton's method in a round, at most; each reads all unlabelled documents
+SURE = 0.1  # how far from 0 or 1 the probability of a pseudo-label may be
+OTHERS = 32  # columns, by hash, for the sources or languages that no labelled document has
 WORDS = 200
 BINS = 12
 THRESHOLD = 0.5
@@ -114,7 +120,7 @@ class TextView:
 
 
 class MetaView:
-    """One column for each source and language that the sample has, and bins of the recorded size."""
+    """One column for each source and language that the labelled sample has, OTHERS for the rest, and bins of the recorded size."""
 
     def __init__(self, meta: list[tuple]):
         self.values = [{v: i for i, v in enumerate(sorted({m[j] for m in meta}))} for j in range(2)]
@@ -123,53 +129,63 @@ class MetaView:
     def __call__(self, meta: list[tuple]) -> np.ndarray:
         out = []
         for j, values in enumerate(self.values):
-            x = np.zeros((len(meta), len(values) + 1))
-            x[np.arange(len(meta)), [values.get(m[j], len(values)) for m in meta]] = 1
+            x = np.zeros((len(meta), len(values) + OTHERS))
+            x[np.arange(len(meta)), [values[m[j]] if m[j] in values else len(values) + zlib.crc32(m[j].encode()) % OTHERS for m in meta]] = 1
             out.append(x)
         out.append(np.eye(len(self.edges) + 1)[np.searchsorted(self.edges, [m[2] for m in meta], side="right")])
         return np.hstack(out)
 
 
+def _chance(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-odds))
+
+
 class Model:
     """Both views, calibrated, and their combination."""
 
-    def __init__(self, stats, words, meta, y, labelled):
+    def __init__(self, stats, words, meta, y, sums=None):
+        """From labelled documents; sums(model) gives what co_train() needs of the unlabelled ones."""
         r = np.random.default_rng(7)
-        known = np.flatnonzero(labelled)
         kept = np.zeros(len(y), bool)
-        kept[r.permutation(known)[: max(2, len(known) // 4)]] = True
-        if len(set(y[kept])) < 2 or len(set(y[labelled & ~kept])) < 2:
-            kept = labelled
-        learns = labelled & ~kept if (labelled & ~kept).any() else labelled
+        kept[r.permutation(len(y))[: max(2, len(y) // 4)]] = True
+        if len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
+            kept[:] = True
+        learns = ~kept if not kept.all() else kept
         self.text = TextView(stats[learns], [w for w, k in zip(words, learns) if k], y[learns])
         self.meta = MetaView(meta)
         x = [self.text(stats, words), self.meta(meta)]
-        targets = [np.where(learns, y, np.nan) for _ in x]
-        free = ~labelled
-        for turn in range(ROUNDS + 1):
-            odds = []
-            for v in range(2):
-                own = ~np.isnan(targets[v])
-                # pseudo-labels count for less than labels
-                self_w = logistic(x[v][own], targets[v][own], np.where(learns[own], 1.0, 0.3))
-                odds.append(_odds(x[v], self_w))
-                setattr(self, ("text_w", "meta_w")[v], self_w)
-            if turn == ROUNDS:
-                break
-            for v in range(2):
-                open_ = np.flatnonzero(free & np.isnan(targets[1 - v]))
-                take = int(SURE * free.sum())
-                order = open_[np.argsort(odds[v][open_], kind="stable")]
-                good = targets[v][~np.isnan(targets[v])].mean()
-                low, high = order[: int(take * (1 - good))], order[len(order) - int(take * good) :]
-                sure = lambda rows, want: rows[np.abs(1 / (1 + np.exp(-odds[v][rows])) - want) < 0.1]  # noqa: E731, B023
-                targets[1 - v][sure(low, 0)] = 0
-                targets[1 - v][sure(high, 1)] = 1
+        self.text_w, self.meta_w = (logistic(v[learns], y[learns], np.ones(learns.sum())) for v in x)
+        if sums is not None:
+            self.co_train([v[learns] for v in x], y[learns], sums(self))
+        odds = [_odds(v, w) for v, w in zip(x, (self.text_w, self.meta_w))]
         even = np.ones(kept.sum())
         self.calibrated = [logistic(o[kept, None], y[kept], even, 0.01) for o in odds]
         both = np.stack([_odds(o[kept, None], c) for o, c in zip(odds, self.calibrated)], 1)
         self.combined = logistic(both, y[kept], even, 0.1)
 
+    def co_train(self, x: list[np.ndarray], y: np.ndarray, sums) -> None:
+        """Newton's method over labels and pseudo-labels; the labels given by the views of the round before."""
+        x = [np.hstack([v, np.ones((len(v), 1))]) for v in x]
+        for _ in range(ROUNDS):
+            told = [self.text_w.copy(), self.meta_w.copy()]
+            for _ in range(STEPS):
+                now = [self.text_w, self.meta_w]
+                found, far = sums(told, now), 0.0
+                for v in range(2):
+                    p = _chance(np.clip(x[v] @ now[v], -30, 30))
+                    hold = np.full(len(now[v]), 0.3)
+                    hold[-1] = 1e-6
+                    slope, bend = x[v].T @ (y - p) - hold * now[v], (x[v].T * np.maximum(p * (1 - p), 1e-6)) @ x[v] + np.diag(hold)
+                    for k in range(2):
+                        n, more, curve = found[v, k]
+                        weight = min(0.3, (y == k).sum() / max(n, 1))
+                        slope, bend = slope + weight * more, bend + weight * curve
+                    step = np.clip(np.linalg.solve(bend, slope), -4, 4)
+                    now[v] += step
+                    far = max(far, np.abs(step).max())
+                if far < 1e-2:
+                    break
+
     def score(self, stats, words, meta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of being good: by text, by metadata, by both."""
         odds = [_odds(self.text(stats, words), self.text_w), _odds(self.meta(meta), self.meta_w)]
@@ -204,8 +220,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = {r["id"]: r["good"] for r in picked}
     rows = _rows(docs, id_col, text_col)
     marks = F.broadcast(spark.createDataFrame(list(wanted.items()), "id long, good int"))  # at most LABELLED rows
-    n = rows.count()
-    sample = rows.join(marks, "id", "left").where(F.col("good").isNotNull() | _share(rows, UNLABELLED, n))
 
     def read(batches):
         for batch in batches:
@@ -213,19 +227,76 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for a, z in K.slices(texts):
                 stats, words = _features(texts[a:z])
                 part = batch.slice(a, z - a)
-                columns = [part.column(0), part.column(5), part.column(2), part.column(3), part.column(4), pa.array(list(stats), pa.list_(pa.float64())), pa.array([w.tobytes() for w in words], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "good", "source", "lang", "n", "stats", "words"])
-
-    found = sample.select("id", "text", "source", "lang", "n", "good").mapInArrow(read, "id long, good int, source string, lang string, n long, stats array<double>, words binary")
-    found = found.limit(2 * (LABELLED + UNLABELLED)).toPandas()  # ids that repeat may add some
-    if found["good"].notna().sum() < 2 * LEAST or found["good"].dropna().nunique() < 2:
-        return None
+                columns = [part.column(0), part.column(2), part.column(3), part.column(4), pa.array(list(stats), pa.list_(pa.float64())), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "source", "lang", "n", "stats", "words"])
+
+    found = rows.join(marks.select("id"), "id", "left_semi").mapInArrow(read, "id long, source string, lang string, n long, stats array<double>, words array<long>")
+    found = settle(found, "labelled")
+    whole = found.groupBy("id").agg(F.max("source").alias("source"), F.max("lang").alias("lang"), F.avg("n").alias("n"), F.array(*[F.avg(F.col("stats")[i]) for i in range(len(STATS))]).alias("stats"))
+    words = found.select("id", F.explode("words").alias("word")).groupBy("id").agg(F.collect_set("word").alias("words"))
+    found = whole.join(words, "id", "left").toPandas()  # one row for each labelled document
     found = found.sort_values("id", kind="stable")
-    seen = found["good"].notna().to_numpy()
-    y = found["good"].fillna(0).to_numpy(float)
-    words = [np.frombuffer(w, np.uint64) for w in found["words"]]
+    y = found["id"].map(wanted).to_numpy(float)
+    if len(y) < 2 * LEAST or len(set(y)) < 2:
+        return None
+    words = [np.sort(np.array(w if w is not None else [], np.int64).view(np.uint64)) for w in found["words"]]
     size = [None if x != x else x for x in found["n"].astype(object)]
-    return Model(np.stack(found["stats"].to_numpy()), words, _meta(found["source"], found["lang"], size), y, seen)
+    others = rows.join(marks, "id", "left_anti")
+    return Model(np.stack(found["stats"].to_numpy()), words, _meta(found["source"], found["lang"], size), y, lambda model: _sums(others, model))
+
+
+def _sums(others: DataFrame, model: Model):
+    """A function of two pairs of weights, told and now: what every pseudo-label that told gives adds to the slopes at now.
+
+    It returns {(view, class): (number of pseudo-labels, gradient, Hessian)}.
+    """
+    sizes = [len(model.text_w), len(model.meta_w)]
+    views = (model.text, model.meta)
+
+    def encode(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            meta = _meta(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            for a, z in K.slices(texts):
+                bits = [np.packbits(x.astype(bool), axis=1) for x in (views[0](*_features(texts[a:z])), views[1](meta[a:z]))]
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in b], pa.binary()) for b in bits], ["text", "meta"])
+
+    coded = settle(others.select("id", "text", "source", "lang", "n").mapInArrow(encode, "text binary, meta binary"), "coded")
+
+    def at(told: list[np.ndarray], now: list[np.ndarray]) -> dict:
+        told, now = [w.copy() for w in told], [w.copy() for w in now]
+
+        def add(batches):
+            total = {(v, k): [0, np.zeros(m), np.zeros((m, m))] for v, m in enumerate(sizes) for k in range(2)}
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2000):
+                    part = batch.slice(a, 2000)
+                    raw = [np.frombuffer(b"".join(part.column(v).to_pylist()), np.uint8).reshape(part.num_rows, -1) for v in range(2)]
+                    x = [np.hstack([np.unpackbits(r, axis=1, count=m - 1), np.ones((len(r), 1), np.uint8)]).astype(float) for r, m in zip(raw, sizes)]
+                    for v in range(2):
+                        chance = _chance(np.clip(x[1 - v] @ told[1 - v], -30, 30))
+                        for k, sure in enumerate((chance < SURE, chance > 1 - SURE)):
+                            own = x[v][sure]
+                            p = _chance(np.clip(own @ now[v], -30, 30))
+                            total[v, k][0] += len(own)
+                            total[v, k][1] += own.T @ (k - p)
+                            total[v, k][2] += (own.T * np.maximum(p * (1 - p), 1e-6)) @ own
+            out = [(v, k, i, np.concatenate([[n, g[i]], h[i]])) for (v, k), (n, g, h) in total.items() for i in range(len(g)) if n]
+            if out:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in list(zip(*out))[:3]), pa.array([r[3].tobytes() for r in out], pa.binary())], ["view", "class", "row", "body"])
+
+        def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            body = np.sum([np.frombuffer(b) for b in rows["body"]], 0)
+            return pd.DataFrame({"view": [key[0]], "class": [key[1]], "row": [key[2]], "body": [body.tobytes()]})
+
+        kind = "view int, class int, row int, body binary"
+        out = {(v, k): [0, np.zeros(m), np.zeros((m, m))] for v, m in enumerate(sizes) for k in range(2)}
+        for r in coded.mapInArrow(add, kind).groupBy("view", "class", "row").applyInPandas(summed, kind).collect():
+            body, own = np.frombuffer(r["body"]), out[r["view"], r["class"]]
+            own[0], own[1][r["row"]], own[2][r["row"]] = int(body[0]), body[1], body[2:]
+        return out
+
+    return at
 
 
 def _scorer(model: Model | None):

@@ -49,3 +49,44 @@ def test_odd_tables(spark):
     got = quality.scored(odd, quality.train(docs2, labels2)).collect()
     assert len(got) == 3 and all(np.isfinite(r.quality_score) for r in got)
     assert quality.scored(odd.limit(0), None).count() == 0
+
+
+def test_every_sure_document_takes_part(spark):
+    """The sums over all unlabelled documents equal those of one matrix."""
+    docs, labels = table(spark, 4000, 5)
+    labels = labels.where("doc_id < 400")
+    seen = {}
+    plain = quality.Model.co_train
+
+    def watched(self, x, y, sums):
+        told = [self.text_w.copy(), self.meta_w.copy()]
+        seen["got"], seen["told"], seen["model"] = sums(told, told), told, (self.text, self.meta)
+        plain(self, x, y, sums)
+
+    quality.Model.co_train = watched
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.Model.co_train = plain
+    rest = docs.join(labels, "doc_id", "left_anti").toPandas()
+    text, meta = seen["model"]
+    x = [text(*quality._features([t.encode() for t in rest["text"]])), meta(quality._meta(rest["source"], rest["lang"], rest["n_chars"]))]
+    odds = [quality._odds(v, w) for v, w in zip(x, seen["told"])]
+    total = 0
+    for v in range(2):
+        for k in range(2):
+            chance = 1 / (1 + np.exp(-odds[1 - v]))
+            sure = chance < 0.1 if k == 0 else chance > 0.9
+            n, slope, _ = seen["got"][v, k]
+            p = 1 / (1 + np.exp(-odds[v][sure]))
+            assert n == sure.sum() and np.allclose(slope[:-1], x[v][sure].T @ (k - p))
+            total += n
+    assert total > 2000  # the sample of 3,000 passed on 450 at most
+
+
+def test_repeated_labelled_ids_are_averaged(spark):
+    docs, labels = table(spark, 300, 6)
+    again = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(25000).drop("id")))
+    model = quality.train(again, labels)
+    got = quality.scored(docs, model).join(docs, F.col("id") == F.col("doc_id"))
+    assert got.where(F.col("kept") == F.col("bad")).count() <= 0.05 * got.count()
