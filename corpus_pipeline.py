@@ -6,7 +6,8 @@ but the last return the columns of documents.
 * quality: documents that the co-trained classifier rejects go.
 * exact_dedup: of documents with equal texts the one with the smallest id stays.
 * near_dedup: documents whose sets of 5-word shingles reach a Jaccard similarity of 0.8 link; of each group of linked
-  documents the one with the smallest id stays. Documents without words stay.
+  documents the one with the smallest id stays (a null id is the smallest; of equal ids one row stays). Rows count one by one, also
+  those that share an id or have none. Documents without words stay.
 * secrets: secrets are replaced by a mark in their texts; every document stays.
 * packing: pieces of sequences of at most 4096 tokens.
 
@@ -34,10 +35,19 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join(docs, k=5, percent=80)
-    # only the ids that go are joined: they are few, and rows without an id stay
-    gone = found.where("component_id < id or (component_id is null and id is not null)").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows are told apart by dense numbers of their own: ids may repeat or be null
+    rows = settle(docs.select("*", F.monotonically_increasing_id().alias("__at"), F.xxhash64("text").alias("__tie")), "rows")
+    part, low = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg((F.max(low) + 1).alias("n")).collect())
+    firsts = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    firsts = F.broadcast(spark.createDataFrame(firsts, "__part long, __first long"))  # a row for each part
+    rows = rows.withColumn("__part", part).join(firsts, "__part").withColumn("__row", F.col("__first") + low)
+    found = ngram_join.join(rows.select("__row", "text"), k=5, percent=80, id_col="__row")
+    found = found.join(rows.select(F.col("__row").alias("id"), "doc_id", "__tie"), "id")
+    stays = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__tie", "id")).alias("first")).select(F.col("first.id").alias("id"))
+    # only the rows that go are joined: they are few
+    gone = found.select("id").join(stays, "id", "left_anti").select(F.col("id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,12 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         docs = cp.settle(stage(spark, docs, "/root/testdata/sf0.001"), "t")
     assert docs.count() == 0
+
+
+def test_near_dedup_tells_rows_with_one_id_apart(spark):
+    words = lambda k, n=60: [f"{k}{i}" for i in range(n)]
+    near = lambda k: " ".join([*words(k), "more"])
+    rows = [(3, " ".join(words("a"))), (5, near("a")), (5, " ".join(words("b"))), (None, " ".join(words("c"))), (None, near("c")), (7, " ".join(words("d"))), (7, near("d")), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text[:1]) for r in dict(cp.STAGES)["near_dedup"](spark, docs, "").collect())
+    assert got == [(0, "c"), (3, "a"), (5, "b"), (7, "d"), (8, "")]
