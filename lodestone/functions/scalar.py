@@ -63,6 +63,16 @@ def column(e: Any, name: Callable[[int], Column], types: tuple) -> Column:
             return a <= b
 
 
+def same(a, b) -> bool:
+    """Equality with NaN equal to itself."""
+    return a == b or a != a and b != b
+
+
+def canonical(v):
+    """The value, NaN as one object, so that sets and joins find it again."""
+    return math.nan if v != v else v
+
+
 def divide(a, b, ty: str):
     if ty == "Integer":
         if b == 0:
@@ -74,23 +84,23 @@ def divide(a, b, ty: str):
 
 
 def evaluate(e: Any, row: dict[int, Any], types: tuple) -> Any:
-    """The value of an expression over a row of variables."""
+    """The value of an expression over a row of variables; NaN equals itself and is the largest real."""
     if isinstance(e, ir.Var):
         return row[e.index]
     if isinstance(e, ir.Value):
-        return e.value
+        return canonical(e.value)
     if isinstance(e, ir.Unary):
         inner = evaluate(e.term, row, types)
-        return not inner if e.op == "Not" else -inner
+        return not inner if e.op == "Not" else canonical(-inner)
     a, b = evaluate(e.lhs, row, types), evaluate(e.rhs, row, types)
     match e.op:
         case "Add" | "Mul":
             out = a + b if e.op == "Add" else a * b
             if isinstance(out, int) and not -(1 << 63) <= out < 1 << 63:
                 raise OverflowError("integer overflow")
-            return out
+            return canonical(out)
         case "Div":
-            return divide(a, b, type_of(e.lhs, types))
+            return canonical(divide(a, b, type_of(e.lhs, types)))
         case "Concat":
             return a + b
         case "And":
@@ -98,8 +108,8 @@ def evaluate(e: Any, row: dict[int, Any], types: tuple) -> Any:
         case "Or":
             return a or b
         case "Eq":
-            return a == b
+            return same(a, b)
         case "Lt":
-            return a < b
+            return a < b or a == a and b != b
         case _:
-            return a <= b
+            return a <= b or b != b
