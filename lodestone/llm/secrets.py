@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame functions alone.
 
-A pattern finds candidates: long runs of key letters that hold a digit, values set to a name like "password", and headers of
-private keys. For each the features are measured: length, kinds of characters and their transitions, distinct
+A pattern finds candidates: long runs of key letters that hold a digit, values set to a name like "password" (in any case,
+with or without quotes), passwords in URLs, and private keys up to their END line, of which the header is judged. For each the features are measured: length, kinds of characters and their transitions, distinct
 characters, coverage by dictionary words, path signs, and neighbouring words. A random forest, trained here on labelled
 findings (made by rule, ``FINDINGS`` of them), tells secrets from ids, digests, paths, names and placeholders. The forest is
 turned into one SQL expression, so that a document is scanned, judged and redacted where it is read: nothing is
@@ -29,10 +29,14 @@ THRESHOLD = 0.5
 BEFORE, AFTER = 48, 24  # characters of context
 MARK = "[SECRET]"
 
+NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|credentials?)"
+VALUE = r"A-Za-z0-9!@#$%^&*+/_-"
+# short checks stand before the long ones behind, which would be tried at every place
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
-    r"|(?<=(?:password|passwd|secret|token|api_key|apikey)[=:])[A-Za-z0-9!@#$%^&*+/_.-]{8,}+"
-    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"(?<=[=:]\s{{0,2}}[\"']?)(?=[.{VALUE}]{{8}})(?<={NAMED}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[.{VALUE}]{{7,}}[{VALUE}]={{0,2}}+"
+    r"|(?<=:)(?=[^\s/@:]{3,128}@)(?<=://[^\s/:@]{0,64}:)[^\s/@:]{3,128}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\s\S]{0,16384}?-----END [A-Z ]{0,20}PRIVATE KEY-----)?+"
 )
 # Words that prose, names and paths are made of, words beside secrets, and words beside other long strings.
 DICTIONARY = "the|and|ing|tion|user|file|name|path|home|data|test|page|index|image|config|version|release|report|chapter|section|figure|table|model|server|client|number|order|product|article|summer|winter|online|update|service|system|project|module|package|document|download|content|default|example|sample|placeholder|password|change"
@@ -59,6 +63,7 @@ FEATURES = {
     "near_secret": f"cast(l rlike '{NEAR_SECRET}[^ ]{{0,12}}\\\\s?[=:]?\\\\s?[\"\\']?(is )?$' as double)".replace("\\b", "\\\\b"),
     "near_other": f"cast(right(l, 24) rlike '{NEAR_OTHER}' as double)".replace("\\b", "\\\\b"),
     "placeholder": f"cast(concat(c, ' ', right(l, 12), ' ', left(r, 8)) rlike '{PLACEHOLDER}' as double)",
+    "user_info": "cast(l rlike '://[^ /:@]{0,64}:$' and r rlike '^@' as double)",
     "prefix": f"cast(c rlike '{PREFIX}' as double)",
 }
 
@@ -89,12 +94,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (1, F.concat(pick("ghp_", "sk-", "glpat-", "AIza"), cut(mixed, 30, 40)), pick("use ", "export X=", "the ", "key "), F.lit(" ")),
         (1, cut(mixed, 20, 44), pick("secret_key = ", "access token: ", "password: ", "credentials="), F.lit(" ")),
         (1, F.concat(F.substring(mixed, 1, 9), pick("!", "#", "")), pick("password=", "secret:", "token="), F.lit(" ")),
+        (1, F.concat(F.substring(mixed, 1, 4), pick("!", "&", "-", "x", "3"), F.substring(mixed, 8, 5)), pick("DB_PASSWORD=", "and PASSWORD=", "pwd=", "Token=", "password: ", "password=\"", "\"password\": \"", "credential: '"), pick(" ", "\"", "\n", "")),
+        (1, cut(F.translate(F.concat(h("e"), h("f")), "0123456789abcdef", "qwertyuiopzdxghk"), 14, 30), pick("token: \"", "secret = \"", "pwd: ", "api_key=", "password=\""), pick("\"", " ", "")),
+        (1, cut(mixed, 6, 16), pick("https://user:", "postgres://admin:", "see ftp://u1:", "mysql://root:"), pick("@host/", "@db.local:5432/x", "@10.0.0.1 and")),
         (1, F.lit("-----BEGIN RSA PRIVATE KEY-----"), pick("", "key\n", "of the "), F.lit("\n")),
         (0, F.substring(h("g"), 1, 40), pick("in commit ", "sha1 ", "rev ", "checksum: ", "digest "), F.lit(" and")),
         (0, F.substring(h("d"), 1, pick(32, 64)), pick("md5: ", "sha256 ", "etag ", "hash of the file "), F.lit(" ")),
         (0, F.concat_ws("-", F.substring(h("a"), 1, 8), F.substring(h("a"), 9, 4), F.substring(h("a"), 13, 4), F.substring(h("a"), 17, 4), F.substring(h("a"), 21, 12)), pick("uuid ", "id: ", "the ", "trace "), F.lit(" ")),
         (0, F.concat_ws("-", word(1), word(2), word(3), number("s", 4)), pick("see ", "/", "of the ", "."), F.lit(".")),
         (0, F.concat_ws("/", word(4), word(5), word(6), F.concat(word(7), number("q", 2))), pick("/", "in ", "http:/"), F.lit(".")),
+        (0, F.concat(word(13), word(14)), pick("secret: ", "password: ", "the token = ", "Password: ", "credentials: ", "\"token\": \""), pick(" ", ".", " and", "\"")),
         (0, F.concat(F.initcap(word(8)), F.initcap(word(9)), F.initcap(word(10)), number("c", 2)), pick("call ", "the ", "class "), F.lit("(")),
         (0, cut(number("w", 30), 16, 20), pick("number ", "de ", "| ", "the "), F.lit(" ")),
         (0, F.concat(pick("AKIA", "AKIAIOSFODNN"), pick("EXAMPLE0", "7EXAMPLE", "XXXX0000XXXX")), pick("like ", "key: ", "password="), F.lit(" ")),
@@ -149,8 +158,8 @@ def _scanned(df: DataFrame, text_col: str) -> DataFrame:
     parts = parts.withColumn("__p", F.when(F.col("__has"), F.struct(c.alias("c"), g.alias("g"))))
     gaps = "slice(__p.g, {0}, size(__p.c))"
     zipped = f"arrays_zip(__p.c, {gaps.format(1)}, {gaps.format(2)})"
-    parts = parts.withColumn("__a", F.expr(f"transform({zipped}, x -> named_struct('c', x.c, 'gap', x.`1`, 'l', right(x.`1`, {BEFORE}), 'r', left(x.`2`, {AFTER})))"))
-    struct = ", ".join(f"'{k}', {v}" for k, v in _feature_sql("x.c", "x.l", "x.r").items())
+    parts = parts.withColumn("__a", F.expr(f"transform({zipped}, x -> named_struct('c', x.c, 'h', if(x.c like '-----BEGIN%', regexp_extract(x.c, '^-----[A-Z ]+-----', 0), x.c), 'gap', x.`1`, 'l', right(x.`1`, {BEFORE}), 'r', left(x.`2`, {AFTER})))"))
+    struct = ", ".join(f"'{k}', {v}" for k, v in _feature_sql("x.h", "x.l", "x.r").items())
     scored = f"transform(transform(__a, x -> named_struct('c', x.c, 'gap', x.gap, 'f', named_struct({struct}))), y -> named_struct('c', y.c, 'gap', y.gap, 'score', {probability.replace('f.', 'y.f.')}))"
     return parts.withColumn("__found", F.expr(scored)).withColumn("__tail", F.element_at("__p.g", -1)).drop("__a", "__p")
 
