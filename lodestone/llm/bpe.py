@@ -6,7 +6,7 @@ The symbols of a piece form a doubly linked list; a priority queue holds the ran
 whose neighbours have changed meanwhile are skipped. Decoding puts together the vocabulary's strings, one space between
 them, as the library does for a file that names no decoder.
 
-Words already seen by a worker are kept, up to a fixed number; that changes the speed only.
+Words already seen by a worker are kept, up to a fixed number of bytes; that changes the speed only.
 
 Defined results: null and empty texts have no ids and decode to an empty text; special tokens spelled out in a text get their
 ids; white space beyond ASCII separates pieces within a word; symbols that the vocabulary lacks are dropped; repeated
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, ready
 
-WORDS_KEPT = 250_000
-PIECES_KEPT = 250_000
+WORDS_KEPT = PIECES_KEPT = 24 << 20  # bytes
 # The split pattern's white space (the Unicode property, spelled out) and its contractions.
 WHITE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
@@ -50,15 +49,18 @@ def byte_letters() -> list[str]:
 
 
 class _Kept(dict):
-    """A bounded memory of a function of bytes or text."""
+    """A memory of a function of bytes or text, bounded in bytes."""
 
     def __init__(self, function, most: int):
-        self.function, self.most = function, most
+        self.function, self.most, self.held = function, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        found = self.function(key)
+        self.held += len(key) + len(found) + 160
+        if self.held > self.most:
             self.clear()
-        found = self[key] = self.function(key)
+            self.held = len(key) + len(found) + 160
+        self[key] = found
         return found
 
 

@@ -1,4 +1,7 @@
-"""The same encoding as bpe.py for many words at once, in NumPy: each distinct word of a batch is encoded once.
+"""The same encoding as bpe.py for many words at once, in NumPy: each distinct word is encoded once.
+
+Words are told apart by their bytes: hashes only group them, and each is compared with the word that stands for its group. A
+worker keeps the words it has seen, up to ``KEPT`` bytes; that changes the speed only.
 
 All pieces of like length are merged side by side: in each round every piece merges its neighbours of lowest rank, of
 equal ranks the leftmost. Pieces that are very long go to the scalar encoder.
@@ -14,7 +17,8 @@ from . import kernels as K
 from .bpe import Encoder, encoder
 
 WIDTHS = (2, 4, 8, 12, 16, 24, 40)
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 2 << 20
+KEPT = 24 << 20
 NONE = np.int32(1 << 30)
 
 
@@ -39,6 +43,7 @@ class Bulk:
         self.plain = np.array([-1 if x is None else x for x in self.scalar.plain], np.int32)
         self.last = np.array([-1 if x is None else x for x in self.scalar.last], np.int32)
         self.total = bool((self.plain >= 0).all() and (self.last >= 0).all())
+        self._forget()
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.shift + b
@@ -99,13 +104,13 @@ class Bulk:
             done += len(ids)
         return np.concatenate([np.zeros(0, np.int32), *flats]), starts, sizes
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if not self.total:
-            return [np.frombuffer(self.scalar.encode(t), "<u4") for t in texts]
-        h, begins, starts, ends, joined = K.word_spans(texts)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        words = [joined[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())]
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.held = np.zeros(0, np.int32), 0
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Encodes new words and gives their numbers in the memory."""
         number: dict[bytes, int] = {}
         parts: list[int] = []
         counts = np.zeros(len(words), np.int64)
@@ -123,18 +128,39 @@ class Bulk:
             for p in own:
                 parts.append(number.setdefault(p, len(number)))
             counts[i] = len(own)
-        flat, at, size = self.pieces(list(number))
-        ids, n = ragged(flat, at, size, np.array(parts, np.int64))
+        ids, n = ragged(*self.pieces(list(number)), np.array(parts, np.int64))
         # ids by word: the sums of its pieces' sizes
-        edges = np.append(0, np.cumsum(n))
-        ends_ = np.cumsum(counts)
-        word_size = edges[ends_] - edges[ends_ - counts]
-        word_at = edges[ends_ - counts]
+        edges, ends = np.append(0, np.cumsum(n)), np.cumsum(counts)
+        at, size, more, total = edges[ends - counts], edges[ends] - edges[ends - counts], [ids], len(ids)
         for i, word in special.items():
-            found = np.frombuffer(self.scalar.encode(word), "<u4").astype(np.int32)
-            word_at[i], word_size[i] = len(ids), len(found)
-            ids = np.concatenate([ids, found])
-        every, n = ragged(ids, word_at, word_size, inverse)
+            more.append(np.frombuffer(self.scalar.encode(word), "<u4").astype(np.int32))
+            at[i], size[i] = total, len(more[-1])
+            total += len(more[-1])
+        first = len(self.at)
+        self.at, self.size = np.append(self.at, at + len(self.flat)), np.append(self.size, size)
+        self.flat = np.concatenate([self.flat, *more])
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.held += sum(map(len, words)) + 160 * len(words) + 4 * total
+        return np.arange(first, first + len(words))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.total:
+            return [np.frombuffer(self.scalar.encode(t), "<u4") for t in texts]
+        h, begins, starts, ends, joined = K.word_spans(texts)
+        _, first, group = np.unique(h, return_index=True, return_inverse=True)
+        if not K.agree(joined, starts, ends, first[group]).all():  # words that share a hash: group by their bytes
+            number: dict[bytes, int] = {}
+            group = np.array([number.setdefault(joined[a:z], len(number)) for a, z in zip(starts.tolist(), ends.tolist())], np.int64)
+            first = np.unique(group, return_index=True)[1]
+        words = [joined[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())]
+        if self.held > KEPT:
+            self._forget()
+        place = np.array([self.known.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._learn([words[i] for i in new.tolist()])
+        every, n = ragged(self.flat, self.at, self.size, place[group])
         edges = np.append(0, np.cumsum(n))[begins]
         return [every[a:z] for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
@@ -146,11 +172,6 @@ def bulk(path: str) -> Bulk:
 
 def encode_all(path: str, texts: list[bytes]):
     """Ids of each text, in batches of bounded size."""
-    own, start, size = bulk(path), 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_BYTES:
-            yield from own.encode(texts[start:i])
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield from own.encode(texts[start:])
+    own = bulk(path)
+    for a, z in K.slices(texts, BATCH_BYTES):
+        yield from own.encode(texts[a:z])

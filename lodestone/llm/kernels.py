@@ -1,21 +1,31 @@
 """Vectorised hashing of words and of runs of words.
 
-A word is a run of bytes outside ASCII white space. Its hash is a polynomial over the bytes modulo 2**64 with an odd
-base, taken from prefix sums of a whole buffer at once, then mixed. Hashes of k words are built from those of halves.
+A word is a run of bytes outside ASCII white space. Its hash takes in eight bytes at a time, all words of a buffer side by side,
+and mixes after each step; no two words of up to eight bytes and the same length share one. Words beyond ``LONG`` bytes,
+which are few, go through BLAKE2. Hashes of k words are built from those of halves.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
-PIECE = 1 << 21  # bytes hashed at once, which bounds the temporary arrays
+PIECE = 1 << 21  # bytes looked at together, which bounds the temporary arrays; a longer word stays whole, at a few bytes for each of its own
+LONG = 64
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ODD = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1 = _U(0xC2B2AE3D27D4EB4F)
+_SEEDS = [_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)]
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,69 +38,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Lane:
-    """Byte values and powers of one independent hash."""
-
-    def __init__(self, number: int):
-        with np.errstate(over="ignore"):
-            self.byte = mix(np.arange(1, 257, dtype=_U) * _U(_ODD[number]) + _U(number))
-        self.lower = self.byte.copy()
-        self.lower[65:91] = self.byte[97:123]
-        self.base = _ODD[number] | 1
-        self.size = 0
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(n, 2 * self.size)
-            inverse = pow(self.base, -1, 1 << 64)
-            self.up = np.full(self.size, self.base, _U)
-            self.down = np.full(self.size, inverse, _U)
-            self.up[0] = self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
-        return self.up[:n], self.down[:n]
-
-
-_lanes: dict[int, _Lane] = {}
-
-
-def _lane(number: int) -> _Lane:
-    if number not in _lanes:
-        _lanes[number] = _Lane(number)
-    return _lanes[number]
-
-
-def _piece(buf: np.ndarray, lane: _Lane, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words in buf, which ends with white space."""
-    space = _SPACE[buf]
-    before = np.empty_like(space)
-    before[0] = True
-    before[1:] = space[:-1]
-    starts = np.flatnonzero(before & ~space)
-    ends = np.flatnonzero(space & ~before)
-    up, down = lane.powers(len(buf))
-    sums = np.zeros(len(buf) + 1, _U)
-    values = (lane.lower if lower else lane.byte)[buf]
-    values *= up
-    np.cumsum(values, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    return mix(hashes + (ends - starts).astype(_U) * _C1), starts, ends
+def _eights(raw: bytes) -> np.ndarray:
+    """The eight bytes from each place of raw on; raw ends with eight spare ones."""
+    return np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,))
+
+
+def _hashes(raw: bytes, starts: np.ndarray, sizes: np.ndarray, lane: int) -> np.ndarray:
+    h = mix(sizes.astype(_U) * _C1 + _SEEDS[lane])
+    eights, own = _eights(raw), np.arange(len(starts))
+    for at in range(0, LONG, 8):
+        own = own[sizes[own] > at]
+        if not len(own):
+            break
+        h[own] = mix(h[own] ^ (eights[starts[own] + at] & _MASKS[np.minimum(sizes[own] - at, 8)]))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : starts[i] + sizes[i]], digest_size=8, salt=bytes([lane])).digest(), "little")
+    return h
+
+
+def agree(raw: bytes, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which words of raw, which ends with eight spare bytes, have the bytes of the words whose numbers are in other."""
+    sizes = ends - starts
+    same = sizes == sizes[other]
+    eights, own = _eights(raw), np.flatnonzero(same)
+    for at in range(0, LONG, 8):
+        own = own[sizes[own] > at]
+        if not len(own):
+            break
+        mask = _MASKS[np.minimum(sizes[own] - at, 8)]
+        same[own] &= ((eights[starts[own] + at] ^ eights[starts[other[own]] + at]) & mask) == 0
+    for i in np.flatnonzero(same & (sizes > LONG)).tolist():
+        j = other[i]
+        same[i] = raw[starts[i] : ends[i]] == raw[starts[j] : ends[j]]
+    return same
 
 
 def word_spans(texts: list[bytes], lower: bool = False, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """As words(), and each word's start and end in the joined texts, which come last."""
-    joined = b"\n".join(texts) + b"\n"
+    """As words(), and each word's start and end in the joined texts, which come last, with eight spare bytes."""
+    joined = b"\n".join(texts) + b"\n" + bytes(8)
+    if lower:
+        joined = joined.translate(_LOWER)
+    size = len(joined) - 8
     buf = np.frombuffer(joined, np.uint8)
     begins = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
     found, at = [], 0
-    own = _lane(lane)
-    while at < len(buf):
-        stop = min(at + PIECE, len(buf))
-        while not _SPACE[buf[stop - 1]]:
-            stop += 1
-        h, s, e = _piece(buf[at:stop], own, lower)
-        found.append((h, s + at, e + at))
+    while at < size:
+        stop = _SPACES.search(joined, min(at + PIECE, size) - 1).end()
+        space = _SPACE[buf[at:stop]]
+        before = np.empty_like(space)
+        before[0] = True
+        before[1:] = space[:-1]
+        starts, ends = np.flatnonzero(before & ~space) + at, np.flatnonzero(space & ~before) + at
+        found.append((_hashes(joined, starts, ends - starts, lane), starts, ends))
         at = stop
     hashes, starts, ends = (np.concatenate(x) for x in zip(*found))
     return hashes, np.searchsorted(starts, begins), starts, ends, joined
@@ -101,16 +101,27 @@ def words(texts: list[bytes], lower: bool = False, lane: int = 0) -> tuple[np.nd
     return word_spans(texts, lower, lane)[:2]
 
 
-def slices(texts: list[bytes], most: int = 4 << 20):
-    """(from, to) of runs of texts that are of bounded size together."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+def runs(sizes, most: int = 4 << 20):
+    """(from, to) of runs that come to a bounded size together, unless they are of one thing."""
+    start, size, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
+        size += n
+    if i >= 0:
+        yield start, i + 1
+
+
+def slices(texts: list[bytes], most: int = 4 << 20):
+    """(from, to) of runs of texts that are of bounded size together."""
+    return runs(map(len, texts), most)
+
+
+def batch_slices(batch: pa.RecordBatch, text: int, most: int = 2 << 20):
+    """Slices of a batch whose texts, in the column of that number, are of bounded size together."""
+    for a, z in runs(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), most):
+        yield batch.slice(a, z - a)
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:

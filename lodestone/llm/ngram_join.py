@@ -15,8 +15,11 @@ link with nothing. A document with combinations has all its rare tokens indexed;
 frequent tokens in common, and their number bounds its overlap. Keys of combinations are odd, those of single tokens even.
 
 Documents with equal sets are joined first, by a 128-bit digest of the set, and stand as one. Candidates are verified in
-two rounds, each exact: first every document against the smallest id under each key; then, for keys that still hold
-several components, all pairs of different components. So a large group of near copies is not paired with itself.
+rounds, each exact. First every document meets the smallest id under each of its keys. A key whose documents are then of one
+component is closed. Under the open ones each document meets ``PIVOTS`` others, of other components, picked by hash; that
+joins what is left of large groups of near copies. What then stays open are documents that no pivot linked, and only pairs of
+different components among them are tried. Sizes, numbers of shared tokens and ``BITS`` parities of the sets bound the overlap of a
+pair, so that few go on to verification. So a large group of near copies is not paired with itself.
 
 Defined results: null and empty texts have no tokens, and link with nothing; a text with fewer words than a shingle is
 one token; of rows that repeat an id, each belongs to the component of its own text, and near copies of any of the texts link with
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from . import kernels as K
-from .common import documents, parts, settle
+from .common import documents, settle
 from .graph import components
 
 RARE = 8
+PIVOTS = 8
+BITS = 256
 
 
 def token_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -92,11 +97,17 @@ def keys(tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """BITS parities of a set: two sets differ in at least as many tokens as bits."""
+    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _index(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, shared, frequent, digest, keys, tokens) of every document; tokens: the shared ones, packed, where there are keys."""
+    """(id, n, shared, frequent, digest, keys, tokens, bits) of every document; tokens: the shared ones, packed, where there are keys."""
     plan = C.layout(docs, id_col, text_col)
     chunks = C.chunked(docs, plan, id_col, text_col)
-    number = 2 * parts(docs.sparkSession)
+    number = plan.parts(docs.sparkSession)
     shift = max(0, 64 - 17 - math.ceil(math.log2(max(2, plan.raw_bytes))))
 
     def tell(chunk: int, rows: pd.DataFrame) -> list[tuple]:
@@ -119,11 +130,11 @@ def _index(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
             df = np.where(there, counts[at] if len(counts) else 1, 1)
             key = keys(tokens, df, percent)
             digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-            out.append((len(tokens), int((df > 1).sum()), int((df > RARE).sum()), digest, key.view(np.int64), K.pack(tokens[df > 1]) if len(key) else None))
-        return pd.DataFrame({"id": ids} | dict(zip(("n", "shared", "frequent", "digest", "keys", "tokens"), zip(*out))))
+            out.append((len(tokens), int((df > 1).sum()), int((df > RARE).sum()), digest, key.view(np.int64), K.pack(tokens[df > 1]) if len(key) else None, parities(tokens) if len(key) else None))
+        return pd.DataFrame({"id": ids} | dict(zip(("n", "shared", "frequent", "digest", "keys", "tokens", "bits"), zip(*out))))
 
     counts = C.compare(chunks, tell, count, 1, 1)
-    return C.with_answers(chunks, counts, index, "id long, n long, shared long, frequent long, digest binary, keys array<long>, tokens binary")
+    return C.with_answers(chunks, counts, index, "id long, n long, shared long, frequent long, digest binary, keys array<long>, tokens binary, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,11 +143,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(batches):
         last, held = None, None
         for batch in batches:
-            a, b, na, nb, ta, tb = (batch.column(i).to_pylist() for i in range(6))
+            a, na, nb, ta, tb = batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))
             keep = []
             for i in range(len(a)):
-                if ta[i] is not last:
-                    last, held = ta[i], K.unpack(ta[i])
+                if a[i] != last:
+                    last, held = a[i], K.unpack(ta[i])
                 both = int(K.member(K.unpack(tb[i]), held)[0].sum())
                 keep.append(100 * both >= percent * (na[i] + nb[i] - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -146,42 +157,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_a.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _side(entries: DataFrame, x: str) -> DataFrame:
+    return entries.select("key", *[F.col(c).alias(x if c == "id" else f"{c[0]}{x}") for c in entries.columns if c != "key"])
+
+
+def _may_link(percent: int, bits: bool):
+    """Sizes, numbers of shared tokens and parities of the sides a and b that allow a link."""
+    n = F.col("na") + F.col("nb")
+    fits = F.least("sa", "sb", "na", "nb") * (100 + percent) >= percent * n
+    if not bits:
+        return fits
+    apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITS // 64)), F.lit(0))
+    return fits & (apart * (100 + percent) <= n * (100 - percent))
+
+
+def _open(entries: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries of keys that hold several components, with component and bits."""
+    labelled = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    # few entries are left: they, not all, take their sets' bits
+    return settle(labelled.join(keys, "key", "left_semi").join(sets.select("id", "bits"), "id"), "open")
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document; documents link at a similarity of percent / 100 or more."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
-    spark = docs.sparkSession
     index = settle(_index(docs, k, percent, id_col, text_col), "index")
     classes = index.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     sets = index.where("tokens is not null").join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
-    sets = settle(sets.select("id", "n", "shared", "frequent", "keys", "tokens").dropDuplicates(["id", "tokens"]), "sets")
+    sets = settle(sets.select("id", "n", "shared", "frequent", "keys", "tokens", "bits").dropDuplicates(["id", "tokens"]), "sets")
     entries = sets.select("id", "n", "shared", "frequent", F.explode("keys").alias("key"))
     entries = entries.select("id", "n", F.when(F.col("key").bitwiseAND(1) == 1, F.col("frequent")).otherwise(F.col("shared")).alias("shared"), "key")
 
-    def may_link(x: str, y: str):
-        """Sizes and numbers of shared tokens that allow a link."""
-        n = F.col(f"n{x}") + F.col(f"n{y}")
-        return F.least(f"s{x}", f"s{y}", f"n{x}", f"n{y}") * (100 + percent) >= percent * n
-
-    side = lambda df, x: df.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c == "component"])
     pivots = entries.groupBy("key").agg(F.min(F.struct("id", "n", "shared")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pivots = pivots.select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.shared").alias("sa"))
-    stars = side(entries, "b").join(pivots, "key").where((F.col("a") != F.col("b")) & may_link("a", "b"))
-    tried = settle(stars.select("a", "b", "na", "nb").distinct(), "pairs")
-    links = settle(_verified(tried, sets, percent), "verified")
+    stars = _side(entries, "b").join(pivots, "key").where((F.col("a") != F.col("b")) & _may_link(percent, False))
+    links = settle(_verified(stars.select("a", "b", "na", "nb").distinct(), sets, percent), "verified")
     found = components(links)
 
-    labelled = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = settle(labelled, "entries")
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi")
-    pairs = side(rest, "a").join(side(rest, "b"), "key").where((F.col("component_a") < F.col("component_b")) & may_link("a", "b"))
-    pairs = pairs.select("a", "b", "na", "nb").distinct()
-    # a star pair that failed is not tried again
-    pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = settle(_verified(pairs, sets, percent), "verified")
-    if more.limit(1).count():
-        found = components(links.union(more))
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    for most in (PIVOTS, None):
+        rest = _open(entries, sets, found)
+        if not rest.limit(1).count():
+            break
+        others = rest
+        if most:
+            # one from each of PIVOTS classes by hash
+            picked = rest.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(most)).alias("class")).agg(F.min_by(F.struct(*[c for c in rest.columns if c != "key"]), F.xxhash64("id", "key")).alias("p"))
+            others = picked.select("key", "p.*")
+        pairs = _side(others, "a").join(_side(rest, "b"), "key").where((F.col("ca") != F.col("cb") if most else F.col("ca") < F.col("cb")) & _may_link(percent, True))
+        pairs = pairs.select(*ordered, F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+        more = settle(_verified(pairs, sets, percent), "verified")
+        if more.limit(1).count():
+            links = links.union(more)
+            found = components(links)
 
     nodes = index.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     nodes = nodes.join(found.withColumnRenamed("id", "rep"), "rep", "left")

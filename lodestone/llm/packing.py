@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into training sequences.
 
 Attention makes a piece of n tokens cost n + n * n / LENGTH, linear plus quadratic. Documents are dealt into buckets of
-bounded size by hash, and each bucket is packed alone: whole lengths of a document become sequences of their own; what is
+bounded size by hash (rows alike by their number too), and each bucket is packed alone: whole lengths of a document become sequences of their own; what is
 left goes, dearest first, to the cheapest sequence with room for it; where no sequence has the room, the document is cut to fill
 the roomiest one and its rest is placed in its turn. A bucket has as many sequences as its tokens need, so its padding is
 under one sequence.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bpe import encoder, vocabulary_path
-from .bulk_bpe import encode_all
+from .bulk_bpe import BATCH_BYTES, encode_all
 from .chunks import NO_ID, id_column
 from .common import documents, ready
 
 LENGTH = 4096
 END = 2
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def cost(n, length: int = LENGTH):
@@ -74,10 +75,19 @@ def packed(df: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     def tokens(batches):
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            blobs = [K.squeeze(np.append(ids, end).astype(kind)) for ids in encode_all(path, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], ["id", "bucket", "ids"])
+        seen: Counter = Counter()
+        for whole in batches:
+            for batch in K.batch_slices(whole, 1, BATCH_BYTES):
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                row = K.mix(batch.column(0).to_numpy().view(np.uint64) + K.mix(np.array([zlib.crc32(t) + 1 for t in texts], np.uint64)))
+                # rows alike go to buckets by how many of them this task has had
+                turn = []
+                for x in row.tolist():
+                    turn.append(seen[x])
+                    seen[x] += 1
+                bucket = (K.mix(row + np.array(turn, np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                blobs = [K.squeeze(np.append(ids, end).astype(kind)) for ids in encode_all(path, texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket), pa.array(blobs, pa.binary())], ["id", "bucket", "ids"])
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["id"].to_numpy(np.int64)
@@ -98,8 +108,7 @@ def packed(df: DataFrame, path: str | None = None, length: int = LENGTH, end: in
 
     kind = np.uint16 if max(*encoder(path).strings, end) < 1 << 16 else np.uint32
     text = F.col(text_col)
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.crc32(text)), F.lit(buckets)).cast("int").alias("bucket")
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), bucket).mapInArrow(tokens, "id long, bucket int, ids binary")
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text")).mapInArrow(tokens, "id long, bucket int, ids binary")
     more = ", ids array<int>" if ids_out else ""
     return rows.groupBy("bucket").applyInPandas(pack, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + more)
 

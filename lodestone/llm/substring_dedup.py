@@ -10,7 +10,7 @@
 A block or window, however common, is sent once by a chunk of documents, so that common lines and large groups of
 copies add no more than one entry for each chunk to a task.
 
-Defined results: a null text has no words; rows that repeat an id count in the order of their texts, and a null id comes before
+Defined results: a null text has no words; rows that repeat an id count one after the other, and a null id comes before
 all others; documents of fewer words than a window keep all; an empty table gives an empty result; other columns take no part.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks as C
 from . import kernels as K
-from .common import documents, parts
+from .common import documents
 
 WORDS = 20
 
@@ -48,7 +48,7 @@ def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     """One row (id, n_words, n_removed, kept_sha256[, spans, kept]) a document; spans are [from, to) in words."""
     plan = C.layout(docs, id_col, text_col)
     chunks = C.chunked(docs, plan, id_col, text_col)
-    number = 2 * parts(docs.sparkSession)
+    number = plan.parts(docs.sparkSession)
     size = words // 2
     # Hits may be false at a rate of 1 in 2**17, which costs a few candidates; fewer bits make smaller probes.
     shift = max(0, 64 - 17 - math.ceil(math.log2(max(2, plan.raw_bytes))))
