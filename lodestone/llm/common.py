@@ -50,6 +50,11 @@ def forget(df: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -62,3 +67,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_text(name: str = "text"):
     """The text column, null counting as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def free_prefix(df: DataFrame, start: str = "__own") -> str:
+    """A beginning of names that no column of df has."""
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    return start

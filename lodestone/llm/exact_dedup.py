@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ready
+from .common import documents, free_prefix, ready
 
 SALTS = 16
 SPACE = b" \t\n\x0b\x0c\r"
@@ -67,11 +67,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with df's columns; of rows that tie in id and content one stays."""
     found = groups(df, id_col, text_col)
-    stays = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__id"), F.lower(F.hex("sha")).alias("__stay")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    rows = df.withColumn("__sha", sha)
-    kept = rows.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([id_col, "__sha"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    own = free_prefix(df)  # names that df doesn't have
+    stays = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(f"{own}id"), F.lower(F.hex("sha")).alias(f"{own}stay")).distinct()
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    rows = df.withColumn(f"{own}sha", sha)
+    kept = rows.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}sha") == F.col(f"{own}stay")), "left_semi")
+    return kept.dropDuplicates([id_col, f"{own}sha"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import documents, ready, settle
+from .common import documents, free_prefix, ready, settle
 
 LABELLED = 8000
 LEAST = 8
@@ -331,7 +331,8 @@ def kept(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     ready(docs.sparkSession)
     run = _scorer(model)
     names = docs.columns
-    extra = ["__id", "__text", "__source", "__lang", "__n"]
+    own = free_prefix(docs)
+    extra = [f"{own}{i}" for i in range(5)]
     inputs = docs.select(*[c.alias(e) for c, e in zip((F.col(id_col).cast("long"), F.col(text_col), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")), extra)], *[F.col(f"`{c}`") for c in names])
 
     def out(batches):

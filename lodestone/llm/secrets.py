@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_prefix
 
 FINDINGS = 4000
 TREES = 15
@@ -147,40 +147,44 @@ def forest_sql(model: RandomForestClassificationModel) -> str:
     return "(" + " + ".join(trees) + f") / {len(trees)}D"
 
 
-def _scanned(df: DataFrame, text_col: str) -> DataFrame:
-    """df with __found: for each candidate its text, place, score, and the text before it since the last candidate; and __tail."""
+def _scanned(df: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """df with a column found: for each candidate its text, score, and the text before it since the last candidate; and with tail.
+
+    The names begin with what comes second, so that they clash with no column of df.
+    """
+    own = free_prefix(df)
     pattern = F.lit(CANDIDATE)
     probability = forest_sql(forest(df.sparkSession))
     text = F.col(f"`{text_col}`")
     # only texts with a candidate are taken apart; gaps are what stands around candidates
-    parts = df.withColumn("__has", F.coalesce(text.rlike(CANDIDATE), F.lit(False)))
+    parts = df.withColumn(f"{own}has", F.coalesce(text.rlike(CANDIDATE), F.lit(False)))
     c, g = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, CANDIDATE, -1)
-    parts = parts.withColumn("__p", F.when(F.col("__has"), F.struct(c.alias("c"), g.alias("g"))))
-    gaps = "slice(__p.g, {0}, size(__p.c))"
-    zipped = f"arrays_zip(__p.c, {gaps.format(1)}, {gaps.format(2)})"
-    parts = parts.withColumn("__a", F.expr(f"transform({zipped}, x -> named_struct('c', x.c, 'h', if(x.c like '-----BEGIN%', regexp_extract(x.c, '^-----[A-Z ]+-----', 0), x.c), 'gap', x.`1`, 'l', right(x.`1`, {BEFORE}), 'r', left(x.`2`, {AFTER})))"))
+    parts = parts.withColumn(f"{own}p", F.when(F.col(f"{own}has"), F.struct(c.alias("c"), g.alias("g"))))
+    gaps = f"slice({own}p.g, {{0}}, size({own}p.c))"
+    zipped = f"arrays_zip({own}p.c, {gaps.format(1)}, {gaps.format(2)})"
+    parts = parts.withColumn(f"{own}a", F.expr(f"transform({zipped}, x -> named_struct('c', x.c, 'h', if(x.c like '-----BEGIN%', regexp_extract(x.c, '^-----[A-Z ]+-----', 0), x.c), 'gap', x.`1`, 'l', right(x.`1`, {BEFORE}), 'r', left(x.`2`, {AFTER})))"))
     struct = ", ".join(f"'{k}', {v}" for k, v in _feature_sql("x.h", "x.l", "x.r").items())
-    scored = f"transform(transform(__a, x -> named_struct('c', x.c, 'gap', x.gap, 'f', named_struct({struct}))), y -> named_struct('c', y.c, 'gap', y.gap, 'score', {probability.replace('f.', 'y.f.')}))"
-    return parts.withColumn("__found", F.expr(scored)).withColumn("__tail", F.element_at("__p.g", -1)).drop("__a", "__p")
+    scored = f"transform(transform({own}a, x -> named_struct('c', x.c, 'gap', x.gap, 'f', named_struct({struct}))), y -> named_struct('c', y.c, 'gap', y.gap, 'score', {probability.replace('f.', 'y.f.')}))"
+    return parts.withColumn(f"{own}found", F.expr(scored)).withColumn(f"{own}tail", F.element_at(f"{own}p.g", -1)).drop(f"{own}a", f"{own}p"), own
 
 
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, start, length, kind, score, secret_sha256) of every secret; start counts characters from 0."""
-    found = _scanned(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").where("__has")
+    found, own = _scanned(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
     # places: the lengths of all that stands before, added up along the text
     empty = "cast(array() as array<struct<start:bigint,c:string,score:double>>)"
     step = "named_struct('at', a.at + length(y.gap) + length(y.c), 'all', if(y.score >= {0}, array_append(a.all, named_struct('start', a.at + length(y.gap), 'c', y.c, 'score', y.score)), a.all))"
-    placed = f"aggregate(__found, named_struct('at', 0L, 'all', {empty}), (a, y) -> {step.format(threshold)}, a -> a.all)"
-    rows = found.select("id", F.explode(F.expr(placed)).alias("x")).select("id", "x.start", "x.c", "x.score")
+    placed = f"aggregate({own}found, named_struct('at', 0L, 'all', {empty}), (a, y) -> {step.format(threshold)}, a -> a.all)"
+    rows = found.where(f"{own}has").select("id", F.explode(F.expr(placed)).alias("x")).select("id", "x.start", "x.c", "x.score")
     kind = F.when(F.col("c").rlike("^-----BEGIN"), "private key").when(F.col("c").rlike(PREFIX), "known prefix").when(F.col("c").rlike("^[0-9a-f]+$"), "hex").otherwise("other")
     return rows.select("id", "start", F.length("c").cast("long").alias("length"), kind.alias("kind"), "score", F.sha2("c", 256).alias("secret_sha256"))
 
 
 def redacted(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with every secret in the text replaced by MARK."""
-    found = _scanned(df, text_col)
-    body = F.expr(f"concat(array_join(transform(__found, y -> concat(y.gap, if(y.score >= {threshold}, '{MARK}', y.c))), ''), __tail)")
-    text = F.when(F.col("__found").isNotNull(), body).otherwise(F.col(f"`{text_col}`"))
+    found, own = _scanned(df, text_col)
+    body = F.expr(f"concat(array_join(transform({own}found, y -> concat(y.gap, if(y.score >= {threshold}, '{MARK}', y.c))), ''), {own}tail)")
+    text = F.when(F.col(f"{own}found").isNotNull(), body).otherwise(F.col(f"`{text_col}`"))
     return found.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
