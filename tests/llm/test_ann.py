@@ -57,3 +57,14 @@ def test_partition_is_balanced():
     assert sizes.min() >= 94 and sizes.max() <= 106
     inside = (part[near] == part[:, None]).mean()
     assert inside > 2 / 8
+
+
+def test_ties_repeats_and_extremes(spark):
+    """Copies of one vector tie at the last place; a query's id repeats; components whose squares overflow or vanish."""
+    rows = [(i, [1.0, 0.0, 0.5]) for i in range(0, 400)] + [(0, [0.0, 1.0, 0.0]), (1000, [1e200, 0.0, 5e199]), (1001, [1e-200, 0.0, 5e-201])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("id") == 1001, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r["rank"]) for r in got] == [(i, i + 1) for i in range(4)] + [(4, 5)] and all(abs(r.score - 1) < 1e-12 for r in got)
+    big = ann.nearest(spark.createDataFrame(rows[398:], "vec_id long, embedding array<double>"), F.col("id") == 1000, 5).collect()
+    assert sorted(r.vec_id for r in big) == [0, 398, 399, 1001]
+    repeated = ann.nearest(spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.1]), (6, [1.0, 0.0])], "vec_id long, embedding array<double>"), F.col("id") == 5, 5).collect()
+    assert [r.vec_id for r in repeated] == [6]
