@@ -234,15 +234,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = settle(found, "labelled")
     whole = found.groupBy("id").agg(F.max("source").alias("source"), F.max("lang").alias("lang"), F.avg("n").alias("n"), F.array(*[F.avg(F.col("stats")[i]) for i in range(len(STATS))]).alias("stats"))
     words = found.select("id", F.explode("words").alias("word")).groupBy("id").agg(F.collect_set("word").alias("words"))
-    found = whole.join(words, "id", "left").toPandas()  # one row for each labelled document
-    found = found.sort_values("id", kind="stable")
-    y = found["id"].map(wanted).to_numpy(float)
+    found = whole.join(words, "id", "left").toArrow().sort_by("id").combine_chunks()  # one row for each labelled document
+    y = np.array([wanted[i] for i in found["id"].to_pylist()], float)
     if len(y) < 2 * LEAST or len(set(y)) < 2:
         return None
-    words = [np.sort(np.array(w if w is not None else [], np.int64).view(np.uint64)) for w in found["words"]]
-    size = [None if x != x else x for x in found["n"].astype(object)]
+    words, stats = found["words"].chunk(0), found["stats"].chunk(0)
+    cuts = [np.sort(words.values.to_numpy()[a:z].view(np.uint64)) for a, z in zip(words.offsets.to_numpy()[:-1], words.offsets.to_numpy()[1:])]
+    meta = _meta(found["source"].to_pylist(), found["lang"].to_pylist(), found["n"].to_pylist())
+    stats = stats.flatten().to_numpy().reshape(len(y), len(STATS))
     others = rows.join(marks, "id", "left_anti")
-    return Model(np.stack(found["stats"].to_numpy()), words, _meta(found["source"], found["lang"], size), y, lambda model: _sums(others, model))
+    del found, words
+    return Model(stats, cuts, meta, y, lambda model: _sums(others, model))
 
 
 def _sums(others: DataFrame, model: Model):
