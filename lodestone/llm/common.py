@@ -10,13 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: For Python workers: Arrow uses the C library's allocator, and that one keeps little of what is free.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, wherever the driver was started."""
+    """Lets Python workers import this package, wherever the driver was started, and bounds what they hold."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+    # what a worker frees goes back to the system, also between tasks
+    for k, v in WORKER_MEMORY.items():
+        env.setdefault(k, v)
     return spark
 
 

@@ -105,7 +105,7 @@ def _frequent(docs: DataFrame, number: int) -> tuple[np.ndarray, np.ndarray, int
     """Hashes (rising) and counts of the most common training words; all words' tokens and types; ends."""
 
     def tell(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in K.batch_slices(whole, 1, SLICE)):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
             texts = [t or b"" for t, out in zip(texts, held_out(ids)) if not out]
             rows = []
@@ -140,7 +140,7 @@ def _bigrams(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
     size = len(frequent) + 1
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in K.batch_slices(whole, 1, SLICE)):
             texts = [t or b"" for t, out in zip(batch.column(1).cast(pa.binary()).to_pylist(), held_out(batch.column(0).to_numpy())) if not out]
             for a, z in K.slices(texts, SLICE):
                 h, begins = K.words(texts[a:z], lower=True)
