@@ -78,16 +78,25 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(stats).reshape(len(texts), len(STATS)), words
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, block: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log-likelihood at weights w, the last one the intercept; x may hold bits as bytes."""
+    slope, bend = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for a in range(0, len(x), block):
+        own = np.hstack([x[a : a + block].astype(float), np.ones((len(x[a : a + block]), 1))])
+        p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+        slope += own.T @ (weight[a : a + block] * (y[a : a + block] - p))
+        bend += (own.T * (weight[a : a + block] * np.maximum(p * (1 - p), 1e-6))) @ own
+    return slope, bend
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
     """Weights, the last one the intercept, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    hold = np.full(x.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    hold = np.full(len(w), ridge)
     hold[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = weight * np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x.T * s) @ x + np.diag(hold), x.T @ (weight * (y - p)) - hold * w)
+        slope, bend = _slopes(x, y, weight, w)
+        step = np.linalg.solve(bend + np.diag(hold), slope - hold * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:
             break
@@ -116,10 +125,10 @@ class TextView:
     def __call__(self, stats: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         out = []
         for j, e in enumerate(self.edges):
-            out.append(np.eye(len(e) + 1)[np.searchsorted(e, stats[:, j], side="right")])
+            out.append(np.eye(len(e) + 1, dtype=np.uint8)[np.searchsorted(e, stats[:, j], side="right")])
         there, at = K.member(np.concatenate([np.zeros(0, np.uint64), *words]), self.words)
         doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        marks = np.zeros((len(words), len(self.words)))
+        marks = np.zeros((len(words), len(self.words)), np.uint8)
         marks[doc[there], at[there]] = 1
         return np.hstack([*out, marks])
 
@@ -134,10 +143,10 @@ class MetaView:
     def __call__(self, meta: list[tuple]) -> np.ndarray:
         out = []
         for j, values in enumerate(self.values):
-            x = np.zeros((len(meta), len(values) + OTHERS))
+            x = np.zeros((len(meta), len(values) + OTHERS), np.uint8)
             x[np.arange(len(meta)), [values[m[j]] if m[j] in values else len(values) + zlib.crc32(m[j].encode()) % OTHERS for m in meta]] = 1
             out.append(x)
-        out.append(np.eye(len(self.edges) + 1)[np.searchsorted(self.edges, [m[2] for m in meta], side="right")])
+        out.append(np.eye(len(self.edges) + 1, dtype=np.uint8)[np.searchsorted(self.edges, [m[2] for m in meta], side="right")])
         return np.hstack(out)
 
 
@@ -170,17 +179,17 @@ class Model:
 
     def co_train(self, x: list[np.ndarray], y: np.ndarray, sums) -> None:
         """Newton's method over labels and pseudo-labels; the labels given by the views of the round before."""
-        x = [np.hstack([v, np.ones((len(v), 1))]) for v in x]
+        even = np.ones(len(y))
         for _ in range(ROUNDS):
             told = [self.text_w.copy(), self.meta_w.copy()]
             for _ in range(STEPS):
                 now = [self.text_w, self.meta_w]
                 found, far = sums(told, now), 0.0
                 for v in range(2):
-                    p = _chance(np.clip(x[v] @ now[v], -30, 30))
                     hold = np.full(len(now[v]), 0.3)
                     hold[-1] = 1e-6
-                    slope, bend = x[v].T @ (y - p) - hold * now[v], (x[v].T * np.maximum(p * (1 - p), 1e-6)) @ x[v] + np.diag(hold)
+                    slope, bend = _slopes(x[v], y, even, now[v])
+                    slope, bend = slope - hold * now[v], bend + np.diag(hold)
                     for k in range(2):
                         n, more, curve = found[v, k]
                         weight = min(0.3, (y == k).sum() / max(n, 1))
