@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import ir
@@ -23,7 +23,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 @dataclass
 class Outcome:
-    """What a program came to. outputs holds the frames of output relations, empty unless status is SAT."""
+    """What a program came to. status: SAT (the optimum), UNSAT, and with a bounded search also FEASIBLE (the best model found, at
+    cost) and UNKNOWN (none found). outputs holds the frames of output relations, empty where there is no model."""
 
     status: str
     cost: int
@@ -51,28 +52,44 @@ def _components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("to").alias("component"))
 
 
-def _quick(facts: DataFrame, groups: DataFrame) -> DataFrame | None:
+def _quick(program: ir.Program, implies: DataFrame, terms: DataFrame) -> DataFrame | None:
     """Truth without search, where all is free: every fact is a free decision in at most one hard group of single positive terms.
 
-    The first k facts of a group stay (all of them for "at least"). None where that doesn't hold, or a group is too small.
+    The first k facts of a group stay (all of them for "at least"). None where that doesn't hold, or a group is too small. Works on
+    rows alone, so that a group may be of any size.
     """
-    if facts.where("not uncond or kind != 'Decision'").limit(1).count():
+    spark = terms.sparkSession
+    if terms.where("size(cond) != 1 or left(cond[0], 1) != 'F'").limit(1).count():
         return None
-    flat = groups.withColumn("gid", F.xxhash64("kind", "threshold", "terms")).select("gid", "kind", "threshold", "weight", F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    bad = flat.where("weight is not null or size(term) != 1 or left(term[0], 1) != 'F' or (kind != 'AtMost' and threshold > n)")
-    if bad.limit(1).count():
+    decisions = [n for n, r in program.relations.items() if r.kind == "Decision"]
+    facts = implies.groupBy("fact", "relation").agg(F.bool_or(F.size("cond") == 0).alias("uncond"))
+    if facts.where(~F.col("relation").isin(decisions) | ~F.col("uncond")).limit(1).count():
         return None
-    members = flat.select("gid", "kind", "threshold", F.substring(F.element_at("term", 1), 3, 64).alias("fact"))
+    about = spark.createDataFrame([(i, c.kind, c.threshold, c.weight) for i, c in enumerate(program.constraints)], "cid int, kind string, threshold long, weight long")
+    sizes = terms.groupBy("cid", "group").agg(F.count(F.lit(1)).alias("n"))
+    if sizes.join(F.broadcast(about), "cid").where("weight is not null or (kind != 'AtMost' and threshold > n)").limit(1).count():  # a row for each constraint
+        return None
+    members = terms.select("cid", "group", F.substring(F.element_at("cond", 1), 3, 64).alias("fact"))
     if members.groupBy("fact").count().where("count > 1").limit(1).count():
         return None
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("gid").orderBy("fact"))
-    picked = members.withColumn("rank", rank).select("fact", ((F.col("kind") == "AtLeast") | (F.col("rank") <= F.col("threshold"))).alias("holds"))
-    return facts.select("fact").join(picked, "fact", "left").select("fact", F.coalesce("holds", F.lit(True)).alias("holds"))
-
-
-def decide(spark: SparkSession, program: ir.Program, inputs: dict[str, DataFrame] | None = None, conflicts: int = 1_000_000) -> Outcome:
+    kept = {}
+    for i, c in enumerate(program.constraints):
+        kept.setdefault(None if c.kind == "AtLeast" else c.threshold, []).append(i)
+    picked = []
+    for k, cids in kept.items():
+        own = members.where(F.col("cid").isin(cids))
+        if k is None:
+            picked.append(own.select("fact"))
+        elif k == 1:  # combined before it is shuffled, however large the group
+            picked.append(own.groupBy("cid", "group").agg(F.min("fact").alias("fact")).select("fact"))
+        elif k > 1:
+            picked.append(own.withColumn("rank", F.row_number().over(Window.partitionBy("cid", "group").orderBy("fact"))).where(F.col("rank") <= k).select("fact"))
+    free = facts.select("fact").join(members.select("fact"), "fact", "left_anti")
+    return reduce(DataFrame.unionByName, picked, free).withColumn("holds", F.lit(True))
+
+
+def decide(spark: SparkSession, program: ir.Program, inputs: dict[str, DataFrame] | None = None, conflicts: int | None = None) -> Outcome:
+    """Solves a program over its inputs. conflicts bounds the search of each component; without it the search ends with the optimum."""
     inputs = inputs or {}
     for name in inputs:
         if name not in program.relations or program.relations[name].io != "Input":
@@ -81,17 +98,17 @@ def decide(spark: SparkSession, program: ir.Program, inputs: dict[str, DataFrame
     outputs = {n: known[n] for n, r in program.relations.items() if r.io == "Output"}
     if all(r.kind == "Basic" for r in program.relations.values()):
         return Outcome("SAT", 0, known, outputs)
-    implies, terms = circuit(spark, program, known, inputs)
-    kinds = spark.createDataFrame([(n, r.kind) for n, r in program.relations.items()], "relation string, kind string")
-    facts = settle(support(implies).join(F.broadcast(kinds), "relation").select("fact", "kind", "uncond", "ders"), "facts")
-    groups = settle(constraint_groups(program, terms), "groups")
-    truth = _quick(facts, groups)
+    implies, terms = (settle(df, name) for df, name in zip(circuit(spark, program, known, inputs), ("implies", "terms")))
+    truth = _quick(program, implies, terms)
     status, cost = "SAT", 0
     if truth is None:
+        kinds = spark.createDataFrame([(n, r.kind) for n, r in program.relations.items()], "relation string, kind string")
+        facts = settle(support(implies).join(F.broadcast(kinds), "relation").select("fact", "kind", "uncond", "ders"), "facts")  # a row for each relation
+        groups = settle(constraint_groups(program, terms), "groups")
         solved = _search(spark, facts, groups, conflicts)
         told = solved.where("fact is null").groupBy("status").agg(F.sum("cost").alias("cost")).collect()
         states = {r["status"] for r in told}
-        status = "UNSAT" if "UNSAT" in states else "UNKNOWN" if "UNKNOWN" in states else "SAT"
+        status = next((x for x in ("UNSAT", "UNKNOWN", "FEASIBLE") if x in states), "SAT")
         cost = sum(r["cost"] for r in told)
         truth = solved.where("fact is not null").select("fact", F.lit(True).alias("holds"))
     chosen = {}
@@ -101,11 +118,11 @@ def decide(spark: SparkSession, program: ir.Program, inputs: dict[str, DataFrame
             held = truth.where("holds").select("fact")
             ids = df.withColumn("fact", fact_id(n, [F.col(f"c{i}") for i in range(len(relation.columns))]))
             df = ids.join(held, "fact", "left_semi").drop("fact")
-        chosen[n] = df if status == "SAT" else df.limit(0)
+        chosen[n] = df if status in ("SAT", "FEASIBLE") else df.limit(0)
     return Outcome(status, cost, known, chosen, truth, implies, terms)
 
 
-def _search(spark: SparkSession, facts: DataFrame, groups: DataFrame, conflicts: int) -> DataFrame:
+def _search(spark: SparkSession, facts: DataFrame, groups: DataFrame, conflicts: int | None) -> DataFrame:
     """(status, cost, fact): one row without fact for each component, and its true facts."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -5,9 +5,10 @@ Conditions play no part in what is possible: a decision may hold, and a denial o
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,12 +43,14 @@ def normalised(df: DataFrame, relation: ir.Relation) -> DataFrame:
         out.append(col.cast(SPARK[t]).alias(f"c{i}"))
     if len(df.columns) != len(relation.columns):
         raise TypeError(f"{relation.name} has {len(relation.columns)} columns, the table {len(df.columns)}")
-    return df.select(*out).dropna()
+    # NaN is a value like any other; only null has no place in a relation
+    return df.select(*out).where(reduce(Column.__and__, [F.col(f"c{i}").isNotNull() for i in range(len(out))], F.lit(True)))
 
 
 def possible(spark: SparkSession, program: ir.Program, inputs: dict[str, DataFrame], rounds: int = ROUNDS) -> dict[str, DataFrame]:
     """A frame of distinct rows for each relation."""
     known: dict[str, DataFrame] = {}
+    reads = Counter(b.loaded[x.relation] for b in _bodies(program) for x in ir.walk(b.instructions) if isinstance(x, (ir.FromQuery, ir.Antijoin)))
     for names in components(program):
         base = {}
         for n in names:
@@ -63,9 +66,16 @@ def possible(spark: SparkSession, program: ir.Program, inputs: dict[str, DataFra
             (n,) = names
             rows = base[n] + [head(Runner(program, r.body, lambda x, _: known[x]).run(), r.head) for r in program.relations[n].rules]
             known[n] = reduce(DataFrame.unionByName, rows).distinct()
+            # what several bodies, or a body and the circuit, read is derived once
+            if program.relations[n].rules and reads[n] + (program.relations[n].kind != "Basic") > 1:
+                known[n] = settle(known[n], n)
     return known
 
 
+def _bodies(program: ir.Program) -> list[ir.Body]:
+    return [r.body for x in program.relations.values() for r in x.rules] + [c.body for c in program.constraints]
+
+
 def _recursive(spark: SparkSession, program: ir.Program, names: list[str], base: dict, known: dict[str, DataFrame], rounds: int) -> dict[str, DataFrame]:
     empty = {n: spark.createDataFrame([], frame_schema(program.relations[n].columns)) for n in names}
     start = {n: reduce(DataFrame.unionByName, base[n], empty[n]).distinct() for n in names}

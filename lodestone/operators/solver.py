@@ -224,8 +224,9 @@ class Result:
     true: list[str]
 
 
-def solve(problem: Problem, conflicts: int = 1_000_000) -> Result:
-    """The best model. A model at the least cost that the hard groups allow is tried for first, since none is better."""
+def solve(problem: Problem, conflicts: int | None = None) -> Result:
+    """The best model; with a limit on conflicts the best one found, FEASIBLE, or UNKNOWN where none was. A model at the least cost that the hard groups allow is tried for first, since none is better."""
+    conflicts = conflicts or 1 << 62
     if any(w is not None for _, _, w, _ in problem.groups):
         found = _solve(problem, min(conflicts, 20_000), True)
         if found is not None:
@@ -314,7 +315,7 @@ def _solve(problem: Problem, conflicts: int, at_least_cost: bool) -> Result | No
         cap.most = cost - 1
     if best is None:
         return Result("UNSAT" if found is False else "UNKNOWN", 0, [])
-    return Result("SAT" if found is False else "UNKNOWN", cost, [f for f, v in number.items() if best[v] > 0])
+    return Result("SAT" if found is False else "FEASIBLE", cost, [f for f, v in number.items() if best[v] > 0])
 
 
 def _least(groups: list, costs: dict[int, int]) -> tuple[int, list[tuple[int, list[int]]]]:

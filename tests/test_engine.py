@@ -13,7 +13,7 @@ from lodestone.sources import json_io, sexp
 from lodestone.sources.language import compile_text
 from lodestone.streaming.session import Session, SessionError
 
-BASE = "define Base Integer. Base 1. Base 2. Base 3. "
+BASE = "define Base Integer. Base 4. Base 5. Base 6. "
 
 
 def rows(spark, text, name="Out", **inputs):
@@ -54,19 +54,52 @@ def test_solver_finds_the_optimum():
         assert not costs or cost_of(problem, set(found.true)) == found.cost
 
 
-def test_unconditional_and_conditional_antijoin(spark):
-    assert rows(spark, BASE + "define Refute Integer. define output Out Integer. Out x :- Base x, !Refute x.") == [(1,), (2,), (3,)]
-    text = BASE + "define output decision Out Integer. Out 1. Out 2. Out 3. constrain (x) = 0 :- Base x, !Out x."
-    assert rows(spark, text) == [(1,), (2,), (3,)]
+STOCK = "define Stock(Integer, Symbol). Stock(10, Oak). Stock(20, Elm). Stock(30, Oak). "
 
 
-def test_pick_one_and_order_of_terms_counts(spark):
-    assert len(rows(spark, BASE + "define output decision Out Integer. Out x :- Base x. constrain = 1 :- Out x.")) == 1
-    # (a, b) and (b, a) are two conditions, so two picks make two terms
-    text = BASE + "define output decision Out Integer. Out x :- Base x. constrain <= 1 :- Out x, Out y, x != y. constrain >= 2 :- Out x."
+def test_denials_of_facts_and_of_decisions(spark):
+    assert rows(spark, STOCK + "define Sold(Integer, Symbol). Sold(20, Elm). define output Out Integer. Out n :- Stock(n, t), !Sold(n, t).") == [(10,), (30,)]
+    # whatever isn't kept breaks a rule, so all oak is kept, and elm may go
+    text = STOCK + "define output decision Keep Integer. Keep n :- Stock(n, t). constrain (n) = 0 :- Stock(n, Oak), !Keep n. constrain = 0 :- Keep n, Stock(n, Elm)."
+    assert rows(spark, text, "Keep") == [(10,), (30,)]
+
+
+def test_order_of_terms_counts(spark):
+    # (a, b) and (b, a) are two conditions, so two that are kept make two terms
+    text = STOCK + "define output decision Keep Integer. Keep n :- Stock(n, t). constrain <= 1 :- Keep a, Keep b, a < b || b < a. constrain >= 2 :- Keep a."
     assert decide(spark, compile_text(text)).status == "UNSAT"
 
 
+def test_bounded_search_keeps_the_best_model():
+    """A limit on conflicts never turns a model into nothing."""
+    n = 9
+    facts = [(f"q{r}{c}", "Decision", True, []) for r in range(n) for c in range(n)]
+    lines = {}
+    for r in range(n):
+        for c in range(n):
+            for key in (("r", r), ("c", c), ("s", r + c), ("d", r - c)):
+                lines.setdefault(key, []).append([f"F:q{r}{c}"])
+    groups = [("AtMost", 1, None, t) for t in lines.values()] + [("AtLeast", 1, 1, [[f"F:q{r}{c}"]]) for r in range(n) for c in range(n)]
+    seen = {solve(Problem(facts, groups), conflicts).status for conflicts in (1, 3, 10, 100, None)}
+    assert seen <= {"SAT", "FEASIBLE", "UNKNOWN"} and "SAT" in seen
+    best = solve(Problem(facts, groups))
+    assert best.cost == n * n - n and len(best.true) == n
+
+
+def test_one_group_of_many(spark):
+    """A global group of a hundred thousand candidates needs no search and no row that holds it all."""
+    many = spark.range(100_000).selectExpr("id as k")
+    text = "define input In Integer. define output decision Out Integer. Out k :- In k. constrain = {} :- Out k."
+    for k in (1, 3):
+        found = decide(spark, compile_text(text.format(k)), {"In": many})
+        assert (found.status, found.outputs["Out"].count()) == ("SAT", k)
+
+
+def test_nan_rows_stay(spark):
+    given = spark.createDataFrame([(0, 0.0), (1, float("nan")), (2, None)], "k long, x double")
+    assert rows(spark, "define input In(Integer, Real). define output Out Integer. Out k :- In(k, x).", In=given) == [(0,), (1,)]
+
+
 def test_spark_and_driver_fixpoints_agree(spark, monkeypatch):
     text = "define Edge(Integer, Integer). " + " ".join(f"Edge({a}, {b})." for a, b in [(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)])
     text += " define output Out(Integer, Integer). Out(a, b) :- Edge(a, b). Out(a, c) :- Out(a, b), Out(b, c). define output Not(Integer, Integer). Not(a, b) :- Edge(a, x), Edge(y, b), !Out(a, b)."

@@ -6,15 +6,15 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.01"
 #: name: the SQL for how many rows the query gives over its whole tables
 WHOLE = {
-    "timestamp_scan_all": "SELECT count(*) FROM events",
-    "theta_join_all": "SELECT sum(s_nationkey) FROM supplier",
-    "antijoin_all": "SELECT count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 25",
-    "union_bodies_all": None,
-    "intersect_all": "SELECT count(DISTINCT o_custkey) FROM orders",
-    "difference_all": "SELECT count(*) FROM part WHERE p_size >= 12",
-    "real_ops_all": None,
-    "sess_insert_remove_all": None,
-    "sess_watch_all": None,
+    "timestamp_scan": "SELECT count(*) FROM events",
+    "theta_join": "SELECT sum(s_nationkey) FROM supplier",
+    "antijoin": "SELECT count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 25",
+    "union_bodies": None,
+    "intersect": "SELECT count(DISTINCT o_custkey) FROM orders",
+    "difference": "SELECT count(*) FROM part WHERE p_size >= 12",
+    "real_ops": None,
+    "sess_insert_remove": None,
+    "sess_watch": None,
 }
 
 
