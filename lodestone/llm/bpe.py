@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, ready
 
-WORDS_KEPT = PIECES_KEPT = 24 << 20  # bytes
+WORDS_KEPT = PIECES_KEPT = 64 << 20  # bytes
 # The split pattern's white space (the Unicode property, spelled out) and its contractions.
 WHITE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
