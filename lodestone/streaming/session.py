@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -192,6 +193,20 @@ class Session:
         self._open[tx] = _Transaction(self.epoch, _State(self._state.program, dict(self._state.inputs)))
         return tx
 
+    @contextmanager
+    def inside(self, tx: str | None):
+        """Reads of inputs and of the program see what a transaction has made of them."""
+        if tx is None:
+            yield
+            return
+        if tx not in self._open:
+            raise SessionError("UnknownTransaction", tx)
+        held, self._state = self._state, self._open[tx].state
+        try:
+            yield
+        finally:
+            self._state = held
+
     def _apply(self, change: Any, tx: str | None) -> int | None:
         if tx is not None:
             if tx not in self._open:
@@ -241,12 +256,15 @@ class Session:
 
     def values(self, name: str) -> list:
         """get_tuples() as Python values, nested as the relation's type is."""
-        relation = self._relation(name, "Input", "Output")
+        return [self.nested(name, list(r)) for r in self.get_tuples(name).collect()]
+
+    def nested(self, name: str, row: list) -> Any:
+        """A row's columns, nested as the relation's type is."""
 
         def nest(ty: ir.Type, row: list) -> Any:
             return row.pop(0) if isinstance(ty, str) else tuple(nest(t, row) for t in ty)
 
-        return [nest(relation.ty, list(r)) for r in self.get_tuples(name).collect()]
+        return nest(self._relation(name, "Input", "Output").ty, row)
 
     def lines(self, name: str) -> DataFrame:
         return text.lines(self.get_tuples(name), self._relation(name, "Input", "Output"))
