@@ -1,5 +1,7 @@
 """A session behind a WebSocket at /ws, in JSON-RPC messages with the fields jsonrpc, id, method and param; and a small client.
 
+A result is {"Ok": value} or {"Err": kind}, where some kinds carry a text; what isn't a request or names no method gets an error.
+
 Requests on the session are taken one at a time. Transactions and subscriptions belong to a connection and end with it. After each
 request that may change rows, subscribers get one message for each row that came or went. Any failure that is not the session's own
 is reported as DatabaseError.
@@ -10,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import logging
 import os
 import socket
 import socketserver
@@ -26,6 +29,7 @@ _GUID = "258EAFA5-E914-47DA-95CA-C5AB0DC85B11"
 _TEXT, _BINARY, _CLOSE, _PING, _PONG = 1, 2, 8, 9, 10
 
 _CHANGING = {"SetProgram", "UpdateInput", "ClearInput"}
+_DETAILED = {"InvalidProgram", "NoSuchRelation", "TypeMismatch"}
 _PLAIN = {*_CHANGING, "GetProgram", "ListRelations", "CheckTuples"}
 
 
@@ -134,15 +138,17 @@ class _Connection(socketserver.StreamRequestHandler):
         except (ValueError, KeyError, TypeError, AttributeError) as e:
             return {"id": request_id, "error": {"code": -32700, "message": f"not a request: {e!r}"}}
         try:
-            return {"id": request_id, "result": self.call(method, param)}
+            return {"id": request_id, "result": {"Ok": self.call(method, param)}}
         except LookupError as e:
             if isinstance(e, KeyError):
                 return {"id": request_id, "error": {"code": -32602, "message": f"missing: {e}"}}
             return {"id": request_id, "error": {"code": -32601, "message": str(e)}}
         except SessionError as e:
-            return {"id": request_id, "error": {"code": -32000, "message": str(e), "data": {"kind": e.kind}}}
-        except Exception as e:  # noqa: BLE001 - the client is told, the server goes on
-            return {"id": request_id, "error": {"code": -32000, "message": f"DatabaseError: {e}", "data": {"kind": "DatabaseError"}}}
+            detail = str(e).partition(": ")[2]
+            return {"id": request_id, "result": {"Err": {e.kind: detail} if e.kind in _DETAILED else e.kind}}
+        except Exception:  # noqa: BLE001 - the client is told, the server goes on
+            logging.getLogger(__name__).exception("request %s", method)
+            return {"id": request_id, "result": {"Err": "DatabaseError"}}
 
     def _tx(self, number: int) -> str:
         tx = f"{self.own}:{number}"
@@ -208,7 +214,7 @@ class _Connection(socketserver.StreamRequestHandler):
             for row in session.changes(key).collect():
                 state, *values = row
                 value = encoded(session._relation(name, "Input", "Output").ty, session.nested(name, values))
-                self.say({"method": "WatchTuples", "param": {"id": number, "event": {"state": state, "value": value}}})
+                self.say({"id": None, "method": "WatchTuples", "param": {"id": number, "event": {"state": state, "value": value}}})
 
 
 class Server(socketserver.ThreadingTCPServer):
@@ -273,9 +279,12 @@ class Client:
                 self.events.append(got["param"])
             elif got["id"] == self._next:
                 if "error" in got:
-                    e = got["error"]
-                    raise SessionError(e.get("data", {}).get("kind", "JsonRpcError"), f"{e['code']} {e['message']}")
-                return got["result"]
+                    raise SessionError("JsonRpcError", f"{got['error']['code']} {got['error']['message']}")
+                if "Err" in got["result"]:
+                    e = got["result"]["Err"]
+                    ((kind, detail),) = e.items() if isinstance(e, dict) else ((e, ""),)
+                    raise SessionError(kind, detail)
+                return got["result"]["Ok"]
 
     def event(self) -> dict:
         """The next event of a subscription, waiting for it."""
