@@ -31,12 +31,13 @@ MARK = "[SECRET]"
 
 NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|credentials?)"
 VALUE = r"A-Za-z0-9!@#$%^&*+/_-"
-# short checks stand before the long ones behind, which would be tried at every place
+HEADER = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+# a key comes first, so that a name before it doesn't take its first word; short checks stand before the long ones behind, which would be tried at every place
 CANDIDATE = (
-    rf"(?<=[=:]\s{{0,2}}[\"']?)(?=[.{VALUE}]{{8}})(?<={NAMED}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[.{VALUE}]{{7,}}[{VALUE}]={{0,2}}+"
+    rf"{HEADER}(?:[\s\S]{{0,16384}}?-----END [A-Z ]{{0,20}}PRIVATE KEY-----)?+"
+    rf"|(?<=[=:]\s{{0,2}}[\"']?)(?=[.{VALUE}]{{8}})(?<={NAMED}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[.{VALUE}]{{7,}}[{VALUE}]={{0,2}}+"
     r"|(?<=:)(?=[^\s/@:]{3,128}@)(?<=://[^\s/:@]{0,64}:)[^\s/@:]{3,128}+"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
-    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\s\S]{0,16384}?-----END [A-Z ]{0,20}PRIVATE KEY-----)?+"
 )
 # Words that prose, names and paths are made of, words beside secrets, and words beside other long strings.
 DICTIONARY = "the|and|ing|tion|user|file|name|path|home|data|test|page|index|image|config|version|release|report|chapter|section|figure|table|model|server|client|number|order|product|article|summer|winter|online|update|service|system|project|module|package|document|download|content|default|example|sample|placeholder|password|change"
@@ -162,7 +163,7 @@ def _scanned(df: DataFrame, text_col: str) -> tuple[DataFrame, str]:
     parts = parts.withColumn(f"{own}p", F.when(F.col(f"{own}has"), F.struct(c.alias("c"), g.alias("g"))))
     gaps = f"slice({own}p.g, {{0}}, size({own}p.c))"
     zipped = f"arrays_zip({own}p.c, {gaps.format(1)}, {gaps.format(2)})"
-    parts = parts.withColumn(f"{own}a", F.expr(f"transform({zipped}, x -> named_struct('c', x.c, 'h', if(x.c like '-----BEGIN%', regexp_extract(x.c, '^-----[A-Z ]+-----', 0), x.c), 'gap', x.`1`, 'l', right(x.`1`, {BEFORE}), 'r', left(x.`2`, {AFTER})))"))
+    parts = parts.withColumn(f"{own}a", F.expr(f"transform({zipped}, x -> named_struct('c', x.c, 'h', if(x.c rlike '^{HEADER}', regexp_extract(x.c, '^{HEADER}', 0), x.c), 'gap', x.`1`, 'l', right(x.`1`, {BEFORE}), 'r', left(x.`2`, {AFTER})))"))
     struct = ", ".join(f"'{k}', {v}" for k, v in _feature_sql("x.h", "x.l", "x.r").items())
     scored = f"transform(transform({own}a, x -> named_struct('c', x.c, 'gap', x.gap, 'f', named_struct({struct}))), y -> named_struct('c', y.c, 'gap', y.gap, 'score', {probability.replace('f.', 'y.f.')}))"
     return parts.withColumn(f"{own}found", F.expr(scored)).withColumn(f"{own}tail", F.element_at(f"{own}p.g", -1)).drop(f"{own}a", f"{own}p"), own
@@ -176,7 +177,7 @@ def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     step = "named_struct('at', a.at + length(y.gap) + length(y.c), 'all', if(y.score >= {0}, array_append(a.all, named_struct('start', a.at + length(y.gap), 'c', y.c, 'score', y.score)), a.all))"
     placed = f"aggregate({own}found, named_struct('at', 0L, 'all', {empty}), (a, y) -> {step.format(threshold)}, a -> a.all)"
     rows = found.where(f"{own}has").select("id", F.explode(F.expr(placed)).alias("x")).select("id", "x.start", "x.c", "x.score")
-    kind = F.when(F.col("c").rlike("^-----BEGIN"), "private key").when(F.col("c").rlike(PREFIX), "known prefix").when(F.col("c").rlike("^[0-9a-f]+$"), "hex").otherwise("other")
+    kind = F.when(F.col("c").rlike(f"^{HEADER}"), "private key").when(F.col("c").rlike(PREFIX), "known prefix").when(F.col("c").rlike("^[0-9a-f]+$"), "hex").otherwise("other")
     return rows.select("id", "start", F.length("c").cast("long").alias("length"), kind.alias("kind"), "score", F.sha2("c", 256).alias("secret_sha256"))
 
 
