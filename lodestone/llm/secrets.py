@@ -26,6 +26,7 @@ FINDINGS = 4000
 TREES = 15
 DEPTH = 6
 THRESHOLD = 0.5
+FOLD = 256  # candidates added up at once
 BEFORE, AFTER = 48, 24  # characters of context
 MARK = "[SECRET]"
 
@@ -172,10 +173,13 @@ def _scanned(df: DataFrame, text_col: str) -> tuple[DataFrame, str]:
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, start, length, kind, score, secret_sha256) of every secret; start counts characters from 0."""
     found, own = _scanned(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    # places: the lengths of all that stands before, added up along the text
+    # places: the lengths of all that stands before, added up along the text, block by block, so that no step copies a long array
     empty = "cast(array() as array<struct<start:bigint,c:string,score:double>>)"
-    step = "named_struct('at', a.at + length(y.gap) + length(y.c), 'all', if(y.score >= {0}, array_append(a.all, named_struct('start', a.at + length(y.gap), 'c', y.c, 'score', y.score)), a.all))"
-    placed = f"aggregate({own}found, named_struct('at', 0L, 'all', {empty}), (a, y) -> {step.format(threshold)}, a -> a.all)"
+    item = "named_struct('start', b.at + length(y.gap), 'c', y.c, 'score', y.score)"
+    step = f"named_struct('at', b.at + length(y.gap) + length(y.c), 'all', if(y.score >= {threshold}, array_append(b.all, {item}), b.all))"
+    block = f"aggregate(slice({own}found, i * {FOLD} + 1, {FOLD}), named_struct('at', a.at, 'all', {empty}), (b, y) -> {step}, b -> named_struct('at', b.at, 'all', array_append(a.all, b.all)))"
+    start = "named_struct('at', 0L, 'all', cast(array() as array<array<struct<start:bigint,c:string,score:double>>>))"
+    placed = f"aggregate(sequence(0, int((size({own}found) - 1) / {FOLD})), {start}, (a, i) -> {block}, a -> flatten(a.all))"
     rows = found.where(f"{own}has").select("id", F.explode(F.expr(placed)).alias("x")).select("id", "x.start", "x.c", "x.score")
     kind = F.when(F.col("c").rlike(f"^{HEADER}"), "private key").when(F.col("c").rlike(PREFIX), "known prefix").when(F.col("c").rlike("^[0-9a-f]+$"), "hex").otherwise("other")
     return rows.select("id", "start", F.length("c").cast("long").alias("length"), kind.alias("kind"), "score", F.sha2("c", 256).alias("secret_sha256"))

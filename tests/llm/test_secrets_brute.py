@@ -144,3 +144,10 @@ def test_a_key_after_a_name(spark):
     got = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.start, r.length, r.kind) for r in got if r.id == 1] == [(8, len(key), "private key")]
     against(spark, rows, got)
+
+
+def test_places_over_many_blocks(spark):
+    r = random.Random(9)
+    text = "".join(r.choice(["password=Xk29vQ!mPz{} ", "commit 1beb58b8af68854f{} é ", "some words {} "]).format(i) for i in range(4 * secrets.FOLD))
+    rows = [(1, text), (2, "password=Xk29vQ!mPz " * secrets.FOLD), (3, "password=Xk29vQ!mPz " * (secrets.FOLD + 1))]
+    assert against(spark, rows, secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()) > 3 * secrets.FOLD
