@@ -53,8 +53,8 @@ _SPLIT = bytes(32 if k in (1, 2, 5, 6) else b for b, k in enumerate(_KIND))
 STATS = ("size", "space", "lines", "digits", "upper", "signs", "stops", "word_length", "distinct", "echo", "top_word")
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+def _texts(batch: pa.RecordBatch, at: int = 1) -> list[bytes]:
+    return [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
 
 
 def _features(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -312,14 +312,17 @@ def _sums(others: DataFrame, model: Model):
     return at
 
 
-def _scorer(model: Model | None):
+def _scorer(model: Model | None, at: tuple[int, ...] = (1, 2, 3, 4)):
+    """Slices of batches with their scores; at: the columns of text, source, language and size."""
+    text, *meta = at
+
     def run(batches):
         for batch in batches:
-            for part in K.batch_slices(batch, 1):
+            for part in K.batch_slices(batch, text):
                 if model is None:
                     scores = (np.ones(part.num_rows),) * 3
                 else:
-                    scores = model.score(*_features(_texts(part)), _meta(*(part.column(i).to_pylist() for i in (2, 3, 4))))
+                    scores = model.score(*_features(_texts(part, text)), _meta(*(part.column(i).to_pylist() for i in meta)))
                 yield [part, [pa.array(s) for s in scores]]
 
     return run
@@ -340,16 +343,17 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 def kept(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the model doesn't reject, with all their columns."""
     ready(docs.sparkSession)
-    run = _scorer(model)
     names = docs.columns
     own = free_prefix(docs)
-    extra = [f"{own}{i}" for i in range(5)]
-    inputs = docs.select(*[c.alias(e) for c, e in zip((F.col(id_col).cast("long"), F.col(text_col), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")), extra)], *[F.col(f"`{c}`") for c in names])
+    # the columns as they are, each text once; behind them those that the views read
+    extra = [F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
+    inputs = docs.select(*[F.col(f"`{c}`") for c in names], *[c.alias(f"{own}{i}") for i, c in enumerate(extra)])
+    run = _scorer(model, (names.index(text_col), *range(len(names), len(names) + 3)))
 
     def out(batches):
         for batch, scores in run(batches):
-            own = pa.RecordBatch.from_arrays([batch.column(len(extra) + i) for i in range(len(names))], names)
-            yield own.filter(pa.array(scores[2].to_numpy() >= THRESHOLD))
+            rows = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))], names)
+            yield rows.filter(pa.array(scores[2].to_numpy() >= THRESHOLD))
 
     return inputs.mapInArrow(out, docs.schema)
 
