@@ -117,11 +117,13 @@ class Encoder:
                 heapq.heappush(queue, (found[0], p, symbols[p], new, found[1]))
         return [s for s in symbols if s >= 0]
 
+    def normal(self, text: str) -> str:
+        # lower case letter by letter: a capital sigma doesn't look at what follows
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def split_pieces(self, text: str) -> list[str]:
         """The pieces of a text without special tokens, normalised."""
-        # lower case letter by letter: a capital sigma doesn't look at what follows
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.split.findall(text)
+        return self.split.findall(self.normal(text))
 
     def _plain(self, text: str) -> list[bytes]:
         return [self.pieces[p] for p in self.split_pieces(text)]

@@ -49,6 +49,30 @@ def test_bulk_equals_scalar(monkeypatch):
     assert list(bulk_bpe.encode_all(bpe.vocabulary_path(), [])) == [] and [len(x) for x in bulk_bpe.encode_all(bpe.vocabulary_path(), [b"", b" "])] == [0, 0]
 
 
+def test_common_words_stay_in_the_bulk_memory(monkeypatch):
+    monkeypatch.setattr(bulk_bpe, "KEPT", 40_000)
+    own, bulk, encoded, real = bpe.encoder(bpe.vocabulary_path()), bulk_bpe.Bulk(bpe.vocabulary_path()), [], bulk_bpe.Bulk.pieces
+    monkeypatch.setattr(bulk_bpe.Bulk, "pieces", lambda *a: encoded.append(real(*a)) or encoded[-1])
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(12))
+    common, rare = [word() for _ in range(100)], [[word() for _ in range(100)] for _ in range(20)]
+    for some in rare:
+        text = " ".join(common + some).encode()
+        assert bulk.encode([text])[0].tolist() == np.frombuffer(own.encode(text), "<u4").tolist()
+    assert sum(len(x[1]) for x in encoded) == len({*common, *(w for some in rare for w in some)}) == 2100
+    assert bulk.held <= 40_000
+
+
+def test_bulk_splits_lines_of_words_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    theirs, bulk = Tokenizer.from_file(bpe.vocabulary_path()), bulk_bpe.Bulk(bpe.vocabulary_path())
+    every = [t or "" for t in texts()]
+    for _ in range(2):  # the second time from memory
+        got = bulk.encode([t.encode() for t in every])
+        assert [x.tolist() for x in got] == [theirs.encode(t, add_special_tokens=False).ids for t in every]
+
+
 def test_bounded_memory():
     own = bpe.Encoder(bpe.vocabulary_path())
     own.words.most = own.pieces.most = 3
