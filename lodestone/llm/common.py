@@ -68,6 +68,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, salt: str = "salt") -> DataFrame:
+    """rows and what table, with one row for a key, has for their keys, which are not null; the column salt goes.
+
+    The rows of a key ask in a part for each salt, so that they don't meet in one task, however many they are.
+    """
+    asked = rows.select(key, salt).distinct().join(table, key, "left")
+    return rows.join(asked, [key, salt]).drop(salt)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

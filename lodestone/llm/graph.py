@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, parts, settle
+from .common import forget, looked_up, parts, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,8 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         spread = both.join(old, "v").groupBy("u").agg(F.min("near").alias("near"))
         spread = labels.select("u", "label").join(spread, "u").select("u", "label", F.least("label", "near").alias("next"))
         jump = spread.select(F.col("u").alias("next"), F.col("next").alias("far"))
-        asked = spread.select("next", salt).distinct().join(jump, "next", "left")
-        jumped = spread.select("*", salt).join(asked, ["next", "salt"]).select("u", F.least("next", F.coalesce("far", "next")).alias("new"), "label")
+        jumped = looked_up(spread.select("*", salt), "next", jump).select("u", F.least("next", F.coalesce("far", "next")).alias("new"), "label")
         new = settle(jumped.select("u", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed")), "labels")
         forget(labels)
         labels = new

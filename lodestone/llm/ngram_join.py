@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from . import kernels as K
-from .common import documents, settle
+from .common import documents, looked_up, parts, settle
 from .graph import components
 
 RARE = 8
@@ -183,7 +183,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     """(id, n_shingles, component_id) of every document; documents link at a similarity of percent / 100 or more."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
-    index = settle(_index(docs, k, percent, id_col, text_col), "index")
+    salt = F.floor(F.rand(1) * parts(docs.sparkSession)).alias("salt")  # written once: rows that are alike get several
+    index = settle(_index(docs, k, percent, id_col, text_col).select("*", salt), "index")
     classes = index.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     sets = index.where("tokens is not null").join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
     sets = settle(sets.select("id", "n", "shared", "frequent", "keys", "tokens", "bits").dropDuplicates(["id", "tokens"]), "sets")
@@ -213,10 +214,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
             links = links.union(more)
             found = components(links)
 
-    nodes = index.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
-    nodes = nodes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    named = lambda c: F.when(c != C.NO_ID, c)
-    return nodes.select(named(F.col("id")).alias("id"), "n_shingles", named(F.coalesce("component", "rep", "id")).alias("component_id"))
+    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    nodes = looked_up(index.select("id", F.col("n").alias("n_shingles"), "digest", "salt"), "digest", named)
+    real = lambda c: F.when(c != C.NO_ID, c)
+    return nodes.select(real(F.col("id")).alias("id"), "n_shingles", real(F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
