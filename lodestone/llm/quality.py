@@ -7,8 +7,9 @@ apart, and the calibrated views are combined into one probability that scores ev
 says quality 1 and toxic 0.
 
 Learning takes at most ``LABELLED`` labelled documents, picked by hash of the id, and all unlabelled ones; scoring takes every
-document and whole texts. The labelled sample's features reach the driver. The unlabelled documents stay on the executors, as
-bits of the views' columns; of them the driver gets sums alone (the gradient and the Hessian of each view and class), whose
+document and whole texts. Of the labelled sample the driver gets statistics, metadata, counts of the words that ``COMMON`` documents have,
+and which documents have the words picked; texts, and the words of each, stay on the executors. So do the unlabelled documents, as bits
+of the views' columns; of them the driver gets sums alone (the gradient and the Hessian of each view and class), whose
 size doesn't depend on the input. A class's pseudo-labels together never weigh more than its labels.
 
 Defined results: null texts count as empty, null metadata as a value of its own; rows that repeat a labelled id are averaged
@@ -39,6 +40,7 @@ STEPS = 4  # of Newton's method in a round, at most; each reads all unlabelled d
 SURE = 0.1  # how far from 0 or 1 the probability of a pseudo-label may be
 OTHERS = 32  # columns, by hash, for the sources or languages that no labelled document has
 WORDS = 200
+COMMON = 5  # documents that have a word, at least, for it to count
 BINS = 12
 THRESHOLD = 0.5
 
@@ -110,26 +112,26 @@ def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class TextView:
     """Bins of the statistics, and words that tell good documents from others."""
 
-    def __init__(self, stats: np.ndarray, words: list[np.ndarray], y: np.ndarray):
+    def __init__(self, stats: np.ndarray, y: np.ndarray, every: np.ndarray, n: np.ndarray, in_bad: np.ndarray):
+        """every: the words of COMMON documents or more, rising; n, in_bad: how many documents, and bad ones, have them."""
         self.edges = [np.unique(np.quantile(stats[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(stats.shape[1])]
-        every, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_counts=True)
-        # a word counts where enough documents have it and the classes differ in it
-        every, n = every[n >= 5], n[n >= 5]
-        bad = np.concatenate([np.zeros(0, np.uint64), *[w for w, good in zip(words, y) if good < 0.5]])
-        there, at = K.member(bad, every)
-        in_bad = np.bincount(at[there], minlength=len(every)) if len(every) else np.zeros(0)
+        # a word counts where the classes differ in it
         share = max(1e-9, (y < 0.5).mean())
-        chi = (in_bad - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9) if len(every) else np.zeros(0)
+        chi = (in_bad - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9)
         self.words = np.sort(every[np.argsort(-chi, kind="stable")[:WORDS]][np.sort(-chi)[:WORDS] < -10])
 
     def __call__(self, stats: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-        out = []
-        for j, e in enumerate(self.edges):
-            out.append(np.eye(len(e) + 1, dtype=np.uint8)[np.searchsorted(e, stats[:, j], side="right")])
         there, at = K.member(np.concatenate([np.zeros(0, np.uint64), *words]), self.words)
         doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
         marks = np.zeros((len(words), len(self.words)), np.uint8)
         marks[doc[there], at[there]] = 1
+        return self.columns(stats, marks)
+
+    def columns(self, stats: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """marks: which of the view's words a document has."""
+        out = []
+        for j, e in enumerate(self.edges):
+            out.append(np.eye(len(e) + 1, dtype=np.uint8)[np.searchsorted(e, stats[:, j], side="right")])
         return np.hstack([*out, marks])
 
 
@@ -157,20 +159,23 @@ def _chance(odds: np.ndarray) -> np.ndarray:
 class Model:
     """Both views, calibrated, and their combination."""
 
-    def __init__(self, stats, words, meta, y, sums=None):
-        """From labelled documents; sums(model) gives what co_train() needs of the unlabelled ones."""
+    def __init__(self, stats, meta, y, counted, marked, sums):
+        """From labelled documents; sums(model) gives what co_train() needs of the unlabelled ones.
+
+        counted(picks) gives the words of the documents picked and their counts, as TextView takes them; marked(words) which document
+        has which of the words.
+        """
         r = np.random.default_rng(7)
         kept = np.zeros(len(y), bool)
         kept[r.permutation(len(y))[: max(2, len(y) // 4)]] = True
         if len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
             kept[:] = True
         learns = ~kept if not kept.all() else kept
-        self.text = TextView(stats[learns], [w for w, k in zip(words, learns) if k], y[learns])
+        self.text = TextView(stats[learns], y[learns], *counted(learns))
         self.meta = MetaView(meta)
-        x = [self.text(stats, words), self.meta(meta)]
+        x = [self.text.columns(stats, marked(self.text.words)), self.meta(meta)]
         self.text_w, self.meta_w = (logistic(v[learns], y[learns], np.ones(learns.sum())) for v in x)
-        if sums is not None:
-            self.co_train([v[learns] for v in x], y[learns], sums(self))
+        self.co_train([v[learns] for v in x], y[learns], sums(self))
         odds = [_odds(v, w) for v, w in zip(x, (self.text_w, self.meta_w))]
         even = np.ones(kept.sum())
         self.calibrated = [logistic(o[kept, None], y[kept], even, 0.01) for o in odds]
@@ -245,18 +250,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.join(marks.select("id"), "id", "left_semi").mapInArrow(read, "id long, source string, lang string, n long, stats array<double>, words array<long>")
     found = settle(found, "labelled")
     whole = found.groupBy("id").agg(F.max("source").alias("source"), F.max("lang").alias("lang"), F.avg("n").alias("n"), F.array(*[F.avg(F.col("stats")[i]) for i in range(len(STATS))]).alias("stats"))
-    words = found.select("id", F.explode("words").alias("word")).groupBy("id").agg(F.collect_set("word").alias("words"))
-    found = whole.join(words, "id", "left").toArrow().sort_by("id").combine_chunks()  # one row for each labelled document
-    y = np.array([wanted[i] for i in found["id"].to_pylist()], float)
+    whole = whole.toArrow().sort_by("id").combine_chunks()  # one row for each labelled document
+    ids = whole["id"].to_numpy()
+    y = np.array([wanted[i] for i in ids.tolist()], float)
     if len(y) < 2 * LEAST or len(set(y)) < 2:
         return None
-    words, stats = found["words"].chunk(0), found["stats"].chunk(0)
-    cuts = [np.sort(words.values.to_numpy()[a:z].view(np.uint64)) for a, z in zip(words.offsets.to_numpy()[:-1], words.offsets.to_numpy()[1:])]
-    meta = _meta(found["source"].to_pylist(), found["lang"].to_pylist(), found["n"].to_pylist())
-    stats = stats.flatten().to_numpy().reshape(len(y), len(STATS))
+    meta = _meta(whole["source"].to_pylist(), whole["lang"].to_pylist(), whole["n"].to_pylist())
+    stats = whole["stats"].chunk(0).flatten().to_numpy().reshape(len(y), len(STATS))
+    words = found.select("id", F.explode("words").alias("word"))
+
+    def counted(picks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        told = spark.createDataFrame([(i, int(good < 0.5)) for i, good in zip(ids[picks].tolist(), y[picks])], "id long, bad int")
+        # an id's rows count as one document
+        got = words.join(F.broadcast(told), "id").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= COMMON).toArrow()
+        every = got["word"].to_numpy().view(np.uint64)
+        rising = np.argsort(every)
+        return every[rising], got["n"].to_numpy()[rising], got["bad"].to_numpy()[rising]
+
+    def marked(picked: np.ndarray) -> np.ndarray:
+        places = spark.createDataFrame([(w, i) for i, w in enumerate(picked.view(np.int64).tolist())], "word long, place int")
+        got = words.join(F.broadcast(places), "word").groupBy("id").agg(F.collect_set("place").alias("places")).toArrow()
+        out = np.zeros((len(ids), len(picked)), np.uint8)
+        for i, own in zip(np.searchsorted(ids, got["id"].to_numpy()).tolist(), got["places"].to_pylist()):
+            out[i, own] = 1
+        return out
+
     others = rows.join(marks, "id", "left_anti")
-    del found, words
-    return Model(stats, cuts, meta, y, lambda model: _sums(others, model))
+    return Model(stats, meta, y, counted, marked, lambda model: _sums(others, model))
 
 
 def _sums(others: DataFrame, model: Model):

@@ -90,3 +90,21 @@ def test_repeated_labelled_ids_are_averaged(spark):
     model = quality.train(again, labels)
     got = quality.scored(docs, model).join(docs, F.col("id") == F.col("doc_id"))
     assert got.where(F.col("kept") == F.col("bad")).count() <= 0.05 * got.count()
+
+
+def test_words_of_labelled_documents_stay_on_the_executors(spark, monkeypatch):
+    """The driver gets counts of common words, not the words of each document, however many those have."""
+    docs, labels = table(spark, 600, 7)
+    own = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda k: F.concat(F.lit("own"), F.col("doc_id").cast("string"), F.lit("x"), k.cast("string"))))
+    long = docs.withColumn("text", F.concat_ws(" ", "text", own))
+    sizes, plain = [], type(docs).toArrow
+
+    def watched(self):
+        out = plain(self)
+        sizes.append(out.nbytes)
+        return out
+
+    monkeypatch.setattr(type(docs), "toArrow", watched)
+    model = quality.train(long.union(long.where("doc_id < 50")), labels)
+    assert sizes and sum(sizes) < 300_000  # 2,000 words of 8 bytes from each of 300 documents are 4,800,000
+    assert np.array_equal(model.text.words, quality.train(docs, labels).text.words) and len(model.text.words)
