@@ -16,7 +16,7 @@ from ..functions.scalar import SPARK
 from ..plans import ir
 from ..plans.stratify import components
 from . import small
-from .body import Runner, head
+from .body import Runner, head, tells_all
 from .storage import settle
 
 ROUNDS = 10_000
@@ -64,8 +64,11 @@ def possible(spark: SparkSession, program: ir.Program, inputs: dict[str, DataFra
             known |= _recursive(spark, program, names, base, known, rounds)
         else:
             (n,) = names
-            rows = base[n] + [head(Runner(program, r.body, lambda x, _: known[x]).run(), r.head) for r in program.relations[n].rules]
-            known[n] = reduce(DataFrame.unionByName, rows).distinct()
+            rules = program.relations[n].rules
+            rows = base[n] + [head(Runner(program, r.body, lambda x, _: known[x], r.head).run(), r.head) for r in rules]
+            # rows that are distinct by themselves are not brought together: there may be many more than in the tables they come from
+            alone = not base[n] and len(rules) == 1 and tells_all(rules[0].body, rules[0].head)
+            known[n] = rows[0] if alone else reduce(DataFrame.unionByName, rows).distinct()
             # what several bodies, or a body and the circuit, read is derived once
             if program.relations[n].rules and reads[n] + (program.relations[n].kind != "Basic") > 1:
                 known[n] = settle(known[n], n)
@@ -93,7 +96,7 @@ def _recursive(spark: SparkSession, program: ir.Program, names: list[str], base:
     rules = [(n, r, [x for x in ir.walk(r.body.instructions) if isinstance(x, ir.FromQuery)]) for n in names for r in program.relations[n].rules]
     for n, r, reads in rules:
         if not any(r.body.loaded[x.relation] in names for x in reads):
-            start[n] = start[n].unionByName(head(Runner(program, r.body, scan).run(), r.head)).distinct()
+            start[n] = start[n].unionByName(head(Runner(program, r.body, scan, r.head).run(), r.head)).distinct()
     delta = {n: settle(start[n], n) for n in names}
     every = dict(delta)
     for _ in range(rounds):
@@ -102,7 +105,7 @@ def _recursive(spark: SparkSession, program: ir.Program, names: list[str], base:
             mine = [i for i, x in enumerate(reads) if r.body.loaded[x.relation] in names]
             for turn in mine:  # one occurrence reads what the last round found, the others all there is
                 at = lambda x, place, turn=turn: (delta if place == turn else every)[x] if x in names else fixed[x]
-                new[n].append(head(Runner(program, r.body, at).run(), r.head))
+                new[n].append(head(Runner(program, r.body, at, r.head).run(), r.head))
         found = {n: settle(reduce(DataFrame.unionByName, dfs).distinct().join(every[n], every[n].columns, "left_anti"), n) if dfs else empty[n] for n, dfs in new.items()}
         if all(not df.limit(1).count() for df in found.values()):
             return every
