@@ -32,14 +32,14 @@ def circuit(spark: SparkSession, program: ir.Program, known: dict[str, DataFrame
         free = [facts_frame(spark, relation)] if relation.facts else []
         free += [normalised(inputs[name], relation)] if name in inputs else []
         derived = [df.withColumn("cond", F.expr(EMPTY)) for df in free]
-        derived += [head(Runner(program, r.body, scan, tuple(range(len(r.body.vars))), True).run(), r.head, True) for r in relation.rules]
+        derived += [head(Runner(program, r.body, scan, r.head, True).run(), r.head, True) for r in relation.rules]
         for df in derived:
             rows.append(_with_ids(df, relation).select(F.col("id").alias("fact"), F.lit(name).alias("relation"), "cond"))
     implies = reduce(DataFrame.unionByName, rows).distinct()
 
     groups = [spark.createDataFrame([], "cid int, `group` string, cond array<string>")]
     for cid, c in enumerate(program.constraints):
-        df = Runner(program, c.body, scan, tuple(range(len(c.body.vars))), True).run()
+        df = Runner(program, c.body, scan, c.head, True).run()
         # conditions that always hold are not counted
         key = F.to_json(F.struct(*[F.col(f"v{i}").alias(f"k{n}") for n, i in enumerate(c.head)])) if c.head else F.lit("{}")
         groups.append(df.where(F.size("cond") > 0).select(F.lit(cid).alias("cid"), key.alias("group"), "cond"))
