@@ -134,7 +134,7 @@ class Runner:
         if not needed and shared:
             out = lhs.join(rhs, shared, "left_semi")
         elif shared and (self.deal or self._of_itself(node)):
-            out = dealt(lhs, rhs, shared)
+            out = dealt(lhs, rhs, shared, gathered=self.deal)
         elif shared:
             out = lhs.join(rhs, shared)
         else:

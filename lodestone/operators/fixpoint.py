@@ -22,6 +22,7 @@ from .storage import settle
 ROUNDS = 10_000
 SMALL = 2_000  # rows of input up to which a recursive component runs in the driver
 SMALL_OUT = 20_000  # rows it may come to
+MANY = 1 << 20  # rows of a recursive component from which its joins deal out common keys
 
 
 def frame_schema(columns: list[str]) -> T.StructType:
@@ -98,17 +99,19 @@ def _recursive(spark: SparkSession, program: ir.Program, names: list[str], base:
         if not any(r.body.loaded[x.relation] in names for x in reads):
             start[n] = start[n].unionByName(head(Runner(program, r.body, scan, r.head).run(), r.head)).distinct()
     delta = {n: settle(start[n], n) for n in names}
-    every = dict(delta)
+    every, rows = dict(delta), sum(df.count() for df in delta.values())
     for _ in range(rounds):
         new: dict[str, list[DataFrame]] = {n: [] for n in names}
         for n, r, reads in rules:
             mine = [i for i, x in enumerate(reads) if r.body.loaded[x.relation] in names]
             for turn in mine:  # one occurrence reads what the last round found, the others all there is
                 at = lambda x, place, turn=turn: (delta if place == turn else every)[x] if x in names else fixed[x]
-                new[n].append(head(Runner(program, r.body, at, r.head).run(), r.head))
+                new[n].append(head(Runner(program, r.body, at, r.head, deal=rows > MANY).run(), r.head))
         found = {n: settle(reduce(DataFrame.unionByName, dfs).distinct().join(every[n], every[n].columns, "left_anti"), n) if dfs else empty[n] for n, dfs in new.items()}
-        if all(not df.limit(1).count() for df in found.values()):
+        came = sum(df.count() for df in found.values())
+        if not came:
             return every
+        rows += came
         delta = found
         # unions of settled tables stay shallow: they are rewritten every few rounds
         every = {n: every[n].unionByName(delta[n]) for n in names}

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import dealing
+from lodestone.operators import dealing, fixpoint
 from lodestone.operators.body import Runner
 from lodestone.operators.decide import decide
 from lodestone.sources.language import compile_text
@@ -67,3 +67,19 @@ def test_a_constraint_makes_a_row_for_each_term(spark):
     made = Runner(program, constraint.body, lambda n, _: {"In": given, "Out": out}[n], constraint.head, True).run()
     assert made.count() == 298  # by pairs: 22,350
     assert decide(spark, program, {"In": given}).rows("Out") == [(0, 0), (1, 1)]
+
+
+def test_recursion_deals_out_common_keys(spark, monkeypatch):
+    """All but the first few reach 1 and 0: those rows of theirs are no task's alone. Rounds of few rows count no keys."""
+    monkeypatch.setattr(fixpoint, "_few", lambda *a: None)
+    text = "define input In(Integer, Integer). define output Out(Integer, Integer). Out(p, q) :- In(p, q). Out(p, r) :- Out(p, q), Out(q, r)."
+    given = spark.createDataFrame([(p, p // 2) for p in range(1, 200)], "p long, q long")
+    want = sorted((p, p >> k) for p in range(1, 200) for k in range(1, p.bit_length() + 1))
+    used = []
+    monkeypatch.setattr("lodestone.operators.body.dealt", lambda *a, **b: used.append(dealing.dealt(*a, **b)) or used[-1])
+    assert decide(spark, compile_text(text), {"In": given}).rows("Out") == want and not used
+    for name, k in (("ROWS", 8), ("GATHERED", 100)):
+        monkeypatch.setattr(dealing, name, k)
+    monkeypatch.setattr(fixpoint, "MANY", 0)
+    assert decide(spark, compile_text(text), {"In": given}).rows("Out") == want
+    assert used and all(df.count() == 0 or largest(df) <= max(40, df.count() / 2) for df in used[:2])
